@@ -1,0 +1,82 @@
+"""Exact percentiles of very large numeric columns by bisection (problem 5).
+
+Values are reduced to mergeable summaries first: per group and part (a batch or a day) the
+distinct values with their counts. Summaries of parts combine by adding counts. For every
+group and percentile an interval that holds the target value is kept; each pass counts the
+rows at or below the midpoints of all intervals at once - a map-side combined aggregate -
+and halves every interval. It ends when each interval holds a single value: the answer is
+the exact discrete percentile, so the error bound is zero.
+
+Defined results: nulls are left out; a group without values gives no row; target rank of
+percentile p over n values is ceil(p * n), at least 1 (the smallest value v with at least
+p * n values <= v, as SQL's percentile_disc).
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gambitflow.session import materialise
+
+#: Midpoints per interval and pass: each pass splits an interval into this many parts plus one.
+CUTS = 15
+
+
+def summary(rows: DataFrame, group: list[str], value: str, part: list[str] | None = None) -> DataFrame:
+    """Counts of the distinct values by group (and part); combined before the shuffle."""
+    keys = [*group, *(part or [])]
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("long").alias("value")).agg(F.count("*").alias("n"))
+
+
+def combine(*summaries: DataFrame, group: list[str]) -> DataFrame:
+    """Summaries of separate parts as one."""
+    return reduce(DataFrame.unionByName, summaries).groupBy(*group, "value").agg(F.sum("n").alias("n"))
+
+
+def percentiles(counts: DataFrame, group: list[str], ps: list[float], broadcast_limit: int = 200_000) -> DataFrame:
+    """group columns, p, value, n: exact discrete percentiles of a summary.
+
+    The intervals are one row per group and percentile. They are broadcast to the counting
+    pass only while they are fewer than `broadcast_limit`; beyond it the pass is a shuffle
+    join on the group, pre-aggregated on both sides.
+    """
+    counts = materialise(counts.select(*group, "value", "n"), "value-counts")
+    keys = [F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in group]
+    counts = counts.withColumn("g", F.concat_ws("\u0001", *keys)) if group else counts.withColumn("g", F.lit(""))
+    frame = counts.groupBy("g", *group).agg(F.sum("n").alias("total"), (F.min("value") - 1).alias("low"), F.max("value").alias("high"))
+    state = frame.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+    # the rounding guards against p * n lying just above an integer in binary
+    state = materialise(state.withColumn("rank", F.greatest(F.lit(1).cast("long"), F.ceil(F.round(F.col("p") * F.col("total"), 6)))), "intervals")
+    n_state = state.count()
+    hint = (lambda d: F.broadcast(d)) if n_state <= broadcast_limit else (lambda d: d)
+    # invariant: count(value <= low) < rank <= count(value <= high)
+    while True:
+        open_ = state.where("high - low > 1")
+        if open_.isEmpty():
+            break
+        # cuts strictly between low and high; equal cuts of narrow intervals do no harm
+        step = F.transform(F.sequence(F.lit(1), F.lit(CUTS)), lambda i: F.col("low") + F.expr("1L") * F.floor((F.col("high") - F.col("low")).cast("decimal(20,0)") * i / (CUTS + 1)).cast("long"))
+        cuts = open_.select("g", "p", F.array_distinct(F.filter(step, lambda c: (c > F.col("low")) & (c < F.col("high")))).alias("cuts"))
+        # a narrow interval may have no cut left but its middle
+        cuts = cuts.join(open_.select("g", "p", "low", "high"), ["g", "p"]).select("g", "p", F.when(F.size("cuts") > 0, F.col("cuts")).otherwise(F.array((F.col("low") + F.floor((F.col("high") - F.col("low")) / 2)).cast("long"))).alias("cuts"))
+        points = cuts.select("g", F.explode("cuts").alias("c")).distinct()
+        slots = points.groupBy("g").agg(F.array_sort(F.collect_set("c")).alias("points"))
+        # every value falls into one slot between two cut points; only slot sums are shuffled
+        slot = F.size(F.filter("points", lambda c: c < F.col("value")))
+        sums = counts.select("g", "value", "n").join(hint(slots), "g").groupBy("g", slot.alias("slot"), "points").agg(F.sum("n").alias("n"))
+        below = (
+            sums.groupBy("g", "points").agg(F.collect_list(F.struct("slot", "n")).alias("s"))
+            .select("g", F.explode(F.transform("points", lambda c, i: F.struct(c.alias("c"), F.aggregate(F.filter("s", lambda x: x["slot"] <= i), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("cnt")))).alias("b"))
+            .select("g", "b.c", "b.cnt")
+        )
+        narrowed = (
+            state.join(below, "g", "left")
+            .groupBy("g", *group, "total", "p", "rank", "low", "high")
+            .agg(F.max(F.when((F.col("cnt") < F.col("rank")), F.col("c"))).alias("lo"), F.min(F.when(F.col("cnt") >= F.col("rank"), F.col("c"))).alias("hi"))
+            .select("g", *group, "total", "low", "high", "p", "rank", "lo", "hi")
+        )
+        state = materialise(narrowed.select("g", *group, "total", F.greatest("low", "lo").alias("low"), F.least("high", "hi").alias("high"), "p", "rank"), "intervals")
+    return state.select(*group, "p", F.col("high").alias("value"), F.col("total").alias("n"))

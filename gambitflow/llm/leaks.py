@@ -34,7 +34,7 @@ BLOCK_WORDS = 2_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _WORDS = re.compile(r"[^\W_]+(?:['’ʼ][^\W_]+)*")
-_HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿\U000e0000-\U000e0fff]")
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 
 
 def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:

@@ -53,7 +53,7 @@ def _parts(x: Column, sep: str) -> Column:
 
 def chain(c: Column) -> Column:
     items = _items(c)
-    arrows = lambda x: F.transform(F.arrays_zip(F.slice(_parts(x, ">"), F.lit(1), F.size(F.split(x, ">")) - 1).alias("a"), F.slice(_parts(x, ">"), F.lit(2), F.size(F.split(x, ">"))).alias("b")), lambda p: _arrow(p["0"], p["1"]))
+    arrows = lambda x: F.transform(F.arrays_zip(F.slice(_parts(x, ">"), F.lit(1), F.size(F.split(x, ">")) - 1).alias("a"), F.slice(_parts(x, ">"), F.lit(2), F.size(F.split(x, ">"))).alias("b")), lambda p: _arrow(p["a"], p["b"]))
     return _whole(items, lambda x: (F.size(F.split(x, ">")) >= 2) & F.forall(_parts(x, ">"), lambda s: s.rlike(_SQUARE)), F.flatten(F.transform(items, arrows)))
 
 

@@ -244,11 +244,11 @@ def upsert_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT *, hash_no % 3 AS h FROM (SELECT *, ('0x' || substr(md5(task_id), 1, 4))::INTEGER AS hash_no FROM tasks))
-SELECT task_id, CASE WHEN h = 0 THEN upper(question) ELSE question END AS question, CASE WHEN h = 0 THEN coalesce(NULL, source_file) ELSE source_file END AS source_file, h = 0 AS replaced FROM t""")
+SELECT task_id, CASE WHEN h = 0 THEN 'Again: ' || question ELSE question END AS question, CASE WHEN h = 0 THEN coalesce(NULL, source_file) ELSE source_file END AS source_file, h = 0 AS replaced FROM t""")
 def upsert_tasks(spark: SparkSession, d: str) -> DataFrame:
     """A third of the tasks arrives again with other questions and without a source file."""
     t = table(spark, d, "tasks").select("task_id", "question", "source_file")
-    new = t.where(F.conv(F.substring(F.md5("task_id"), 1, 4), 16, 10).cast("int") % 3 == 0).select("task_id", F.upper("question").alias("question"), F.lit(None).cast("string").alias("source_file"))
+    new = t.where(F.conv(F.substring(F.md5("task_id"), 1, 4), 16, 10).cast("int") % 3 == 0).select("task_id", F.concat(F.lit("Again: "), "question").alias("question"), F.lit(None).cast("string").alias("source_file"))
     return warehouse.upsert(t.withColumn("replaced", F.lit(False)), new.withColumn("replaced", F.lit(True)), ["task_id"], coalesce=["source_file"])
 
 

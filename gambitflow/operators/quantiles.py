@@ -7,7 +7,7 @@ rows at or below the midpoints of all intervals at once - a map-side combined ag
 and halves every interval. It ends when each interval holds a single value: the answer is
 the exact discrete percentile, so the error bound is zero.
 
-Defined results: nulls are left out; a group without values gives no row; target rank of
+Defined results: nulls are left out; a null group is a group of its own; a group without values gives no row; target rank of
 percentile p over n values is ceil(p * n), at least 1 (the smallest value v with at least
 p * n values <= v, as SQL's percentile_disc).
 """
@@ -43,7 +43,11 @@ def percentiles(counts: DataFrame, group: list[str], ps: list[float], broadcast_
     pass only while they are fewer than `broadcast_limit`; beyond it the pass is a shuffle
     join on the group, pre-aggregated on both sides.
     """
-    counts = materialise(counts.select(*group, "value", "n"), "value-counts")
+    if {"p", "value", "n"} & set(group):
+        raise ValueError("p, value and n are columns of the result; rename the group columns")
+    names = group
+    group = [f"_k{i}" for i in range(len(names))]
+    counts = materialise(counts.select(*[F.col(c).alias(k) for c, k in zip(names, group, strict=True)], "value", "n"), "value-counts")
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in group]
     counts = counts.withColumn("g", F.concat_ws("\u0001", *keys)) if group else counts.withColumn("g", F.lit(""))
     frame = counts.groupBy("g", *group).agg(F.sum("n").alias("total"), (F.min("value") - 1).alias("low"), F.max("value").alias("high"))
@@ -79,4 +83,4 @@ def percentiles(counts: DataFrame, group: list[str], ps: list[float], broadcast_
             .select("g", *group, "total", "low", "high", "p", "rank", "lo", "hi")
         )
         state = materialise(narrowed.select("g", *group, "total", F.greatest("low", "lo").alias("low"), F.least("high", "hi").alias("high"), "p", "rank"), "intervals")
-    return state.select(*group, "p", F.col("high").alias("value"), F.col("total").alias("n"))
+    return state.select(*[F.col(k).alias(c) for c, k in zip(names, group, strict=True)], "p", F.col("high").alias("value"), F.col("total").alias("n"))

@@ -13,13 +13,14 @@ Defined results: null and blank texts give no unit; positions count Unicode char
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gambitflow.session import materialise
+
 # fixed values: abbreviations before a name or number (never end a sentence) ...
 BEFORE_NAME = frozenset("mr mrs ms dr prof st capt col gen lt sgt rev hon jr sr vs cf fig figs vol vols no nos pp p ch sec ed eds m mm mme mlle hr fr frl nr bd vgl bzw sog abb kap str art pág págs sra dra srta núm lic см стр рис гл им проф акад тов κ κα кн ул д डॉ श्री د أ".split())
 # ... and those that may end one, before a capital that begins the next
@@ -70,6 +71,10 @@ def _before(text: str, low: int, at: int) -> str:
 
 #: Words of up to six letters with a stop, and what follows; longer ones are no abbreviations.
 _STOPPED = re.compile(r"(?<![\w.])([^\W\d_]{1,6})\.(?=(?:\s+|(?=[,;:)]))([,;:)]|\w+))")
+#: Any stop behind a letter, or behind a mark on one.
+_ANY_STOP = re.compile("(?:(?<=[^\\W\\d_])|(?<=[\u0300-\u036f\u0900-\u0963]))\\.")
+#: The longest word that the corpus is asked for.
+_LONGEST = 6
 _CAPITAL = re.compile(r"(?<=[a-zà-öø-ÿа-яёα-ωά-ώ] )(?=[^\W\d_a-z])[^\W\d_]{3,}(?:[.'’-][^\W\d_]+)*")
 #: Abbreviations that close an enumeration.
 _CLOSING = re.compile(r"(?:^|\W)(?:т\.\s?[дп]|и др|usw|etc)$", re.IGNORECASE)
@@ -327,39 +332,66 @@ class Splitter:
         return True
 
 
-def corpus_abbreviations(documents: DataFrame, limit: int = 50_000) -> dict[str, bool] | None:
-    """Words that the whole corpus shows to be abbreviations: mostly followed by a small
-    letter or comma, or nearly always by a proper name. The table is counted before it is
-    brought to the driver; beyond `limit` words it is not (None)."""
+def _asked(text: str) -> set[str]:
+    """The words with a stop that the corpus may be asked for: those that `_before` can
+    yield, also behind the stop of a sentence that is written on without a space."""
+    out = set()
+    for m in _ANY_STOP.finditer(text):
+        w = _before(text, 0, m.start()).lower()
+        while w:
+            if len(w) <= _LONGEST:
+                out.add(w)
+            w = w.partition(".")[2].lstrip(".-'’")
+    return out
+
+
+def _document_words(documents: DataFrame) -> DataFrame:
+    """doc_id, word, low, cap, name: the stopped words of every document and what it tells
+    of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: dict[str, Counter] = {}
-            for text in b.column(0).to_pylist():
-                for w, n in (Evidence(text).stops if text else {}).items():
-                    total.setdefault(w, Counter()).update(low=n[0], cap=n[1], name=n[2])
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), **{k: pa.array([c[k] for c in total.values()], pa.int64()) for k in ("low", "cap", "name")}})
+            cols: list[list] = [[] for _ in range(5)]
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not text:
+                    continue
+                stops = Evidence(text).stops
+                for w in _asked(text) | set(stops):
+                    for c, x in zip(cols, (i, w, *stops.get(w, (0, 0, 0))), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(cols)], ["doc_id", "word", "low", "cap", "name"])
 
-    stats = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, low long, cap long, name long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "cap", "name")])
-    found = stats.where("length(word) <= 6 and low + cap >= 5 and (low >= 0.5 * (low + cap) or name >= 0.9 * cap)").select("word", F.expr("name >= 0.5 * cap").alias("named"))
-    rows = found.limit(limit + 1).collect()
-    return {r.word: r.named for r in rows} if len(rows) <= limit else None
+    return documents.mapInArrow(run, "doc_id long, word string, low long, cap long, name long")
 
 
-def sentence_units(documents: DataFrame, corpus: dict[str, bool] | None = None) -> DataFrame:
-    """doc_id, sent_no, start_at, end_at."""
-    known = corpus_abbreviations(documents) if corpus is None else corpus
+def corpus_abbreviations(words: DataFrame) -> DataFrame:
+    """word, named: words that the whole corpus shows to be abbreviations: mostly followed by
+    a small letter or comma, or nearly always by a proper name (named: may a name follow)."""
+    stats = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "cap", "name")])
+    return stats.where(f"length(word) <= {_LONGEST} and low + cap >= 5 and (low >= 0.5 * (low + cap) or name >= 0.9 * cap)").select("word", F.expr("name >= 0.5 * cap").alias("named"))
+
+
+def sentence_units(documents: DataFrame) -> DataFrame:
+    """doc_id, sent_no, start_at, end_at.
+
+    The statistics of the corpus are joined to the stopped words of each document, so a
+    table of any size serves: it stays in the shared folder, and Spark broadcasts it only
+    while it is small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(known)
         for b in batches:
             ids, no, a, e = [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for n, (x, y) in enumerate(split.units(text), 1):
+            for i, text, known in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for n, (x, y) in enumerate(Splitter({w["word"]: w["named"] for w in known or ()}).units(text), 1):
                     ids.append(i)
                     no.append(n)
                     a.append(x)
                     e.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, no, a, e)], ["doc_id", "sent_no", "start_at", "end_at"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, sent_no long, start_at long, end_at long")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words = materialise(_document_words(texts), "stopped-words")
+    table = materialise(corpus_abbreviations(words), "abbreviations")
+    known = words.join(table, "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "named")).alias("known")).withColumnRenamed("doc_id", "known_id")
+    joined = texts.join(known, F.col("doc_id").eqNullSafe(F.col("known_id")), "left").select("doc_id", "text", "known")
+    return joined.mapInArrow(run, "doc_id long, sent_no long, start_at long, end_at long")

@@ -110,6 +110,18 @@ def test_document_evidence_decides():
     assert split("The xyz. Bravo stood.", None) == ["The xyz.", "Bravo stood."]
 
 
+def test_corpus_decides_for_any_number_of_words(spark):
+    # 52,000 short words with a stop before a small letter, more than any table on the driver
+    import itertools
+
+    words = ["".join(x) for x in itertools.islice(itertools.product("bcdfghjklmnpqrstvwxz", repeat=4), 52_000)]
+    texts = [" ".join(f"{w}. a" for w in words[k : k + 2000]) for k in range(0, len(words), 2000)] * 5
+    asks = ["The bbbb. Bravo stood near Bravo.", "One went.The bbbb. Bravo stood near Bravo.", "The nonono. Bravo stood near Bravo."]
+    got = sentences.sentence_units(docs(spark, [*texts, *asks])).where(f"doc_id >= {len(texts)}").collect()
+    at = {n: [asks[n][r.start_at : r.end_at] for r in sorted(got, key=lambda r: r.sent_no) if r.doc_id == len(texts) + n] for n in range(3)}
+    assert at == {0: ["The bbbb. Bravo stood near Bravo."], 1: ["One went.", "The bbbb. Bravo stood near Bravo."], 2: ["The nonono.", "Bravo stood near Bravo."]}
+
+
 def test_units_cover_every_character(spark):
     rng = random.Random(8)
     bits = ["a", "B", ". ", "!", "? ", "\n", "\n\n", "“", "”", "(", ")", "1. ", "e4 ", "。", "ก", " ", "…", "\"", "Mr.", "- x", "​", "«", "»", "**"]

@@ -69,12 +69,13 @@ def _before(text: str, low: int, at: int) -> str:
     return text[k:at].lstrip(".-'’")
 
 
-#: Words of up to six letters with a stop, and what follows; longer ones are no abbreviations.
-_STOPPED = re.compile(r"(?<![\w.])([^\W\d_]{1,6})\.(?=(?:\s+|(?=[,;:)]))([,;:)]|\w+))")
+#: A stop behind a letter, or behind a mark on one, and what follows.
+_STOPPED = re.compile("(?:(?<=[^\\W\\d_])|(?<=[\u0300-\u036f\u0900-\u0963]))\\.(?=(?:\\s+|(?=[,;:)]))([,;:)]|\\w+))")
 #: Any stop behind a letter, or behind a mark on one.
 _ANY_STOP = re.compile("(?:(?<=[^\\W\\d_])|(?<=[\u0300-\u036f\u0900-\u0963]))\\.")
-#: The longest word that the corpus is asked for.
-_LONGEST = 6
+#: The longest word that is counted, and the longest without stops in it that may be an
+#: abbreviation before a capital.
+_LONGEST, _PLAIN = 8, 6
 _CAPITAL = re.compile(r"(?<=[a-zà-öø-ÿа-яёα-ωά-ώ] )(?=[^\W\d_a-z])[^\W\d_]{3,}(?:[.'’-][^\W\d_]+)*")
 #: Abbreviations that close an enumeration.
 _CLOSING = re.compile(r"(?:^|\W)(?:т\.\s?[дп]|и др|usw|etc)$", re.IGNORECASE)
@@ -104,10 +105,11 @@ class Evidence:
         if self._stops is None:
             stops: dict[str, list[int]] = {}
             for m in _STOPPED.finditer(self.text):
-                rest = m.group(2)
-                if _MOVE_NEXT.match(self.text, m.start(2)):
+                rest = m.group(1)
+                word = _before(self.text, 0, m.start()).lower()
+                if not word or len(word) > _LONGEST or _MOVE_NEXT.match(self.text, m.start(1)):
                     continue
-                n = stops.setdefault(m.group(1).lower(), [0, 0, 0])
+                n = stops.setdefault(word, [0, 0, 0])
                 if rest[0].islower() or rest[0] in ",;:)":
                     n[0] += 1
                 else:
@@ -325,7 +327,7 @@ class Splitter:
                 return not _caseless(nxt) or _cjk(nxt)
             return not (_caseless(nxt) or low in ("e.g", "i.e", "approx", "aprox", "b", "z.b", "d.h", "h", "ej", "ex", "т.е", "е", "δηλ") or name())
         own = told.stops.get(low)
-        if own and own[0] > 1 and len(low) <= 6:
+        if own and own[0] > 1 and (len(low) <= _PLAIN or "." in low):
             return not name()
         if low in self.corpus:
             return not (self.corpus[low] and name())
@@ -368,7 +370,7 @@ def corpus_abbreviations(words: DataFrame) -> DataFrame:
     """word, named: words that the whole corpus shows to be abbreviations: mostly followed by
     a small letter or comma, or nearly always by a proper name (named: may a name follow)."""
     stats = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "cap", "name")])
-    return stats.where(f"length(word) <= {_LONGEST} and low + cap >= 5 and (low >= 0.5 * (low + cap) or name >= 0.9 * cap)").select("word", F.expr("name >= 0.5 * cap").alias("named"))
+    return stats.where(f"(length(word) <= {_PLAIN} or instr(word, '.') > 0) and low + cap >= 5 and (low >= 0.5 * (low + cap) or name >= 0.9 * cap)").select("word", F.expr("name >= 0.5 * cap").alias("named"))
 
 
 def sentence_units(documents: DataFrame) -> DataFrame:

@@ -110,6 +110,16 @@ def test_document_evidence_decides():
     assert split("The xyz. Bravo stood.", None) == ["The xyz.", "Bravo stood."]
 
 
+def test_evidence_counts_dotted_and_longer_words():
+    stops = sentences.Evidence("We saw v.chr. and q.r.s.t. him, abcdefgh. it and डॉ. he; abcdefghi. on.").stops
+    assert stops == {"v.chr": [1, 0, 0], "q.r.s.t": [1, 0, 0], "abcdefgh": [1, 0, 0], "डॉ": [1, 0, 0]}
+    text = "He met q.r.s.t. him and q.r.s.t. her. Then near Bravo the q.r.s.t. Bravo stood."
+    assert split(text)[-1] == "Then near Bravo the q.r.s.t. Bravo stood."
+    assert split("The v.chr. Bravo stood near Bravo.", {"v.chr": True}) == ["The v.chr. Bravo stood near Bravo."]
+    # a longer word that stands before small letters twice goes on there
+    assert len(split("It is abcdefgh. so and abcdefgh. thus.")) == 1
+
+
 def test_corpus_decides_for_any_number_of_words(spark):
     # 52,000 short words with a stop before a small letter, more than any table on the driver
     import itertools

@@ -27,6 +27,8 @@ from gambitflow.session import materialise
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
+#: So many members of a band bucket make a block.
+BLOCK = 1000
 #: A template is a refusal if it recurs across so many prompts and this share of its responses answers at most.
 PROMPTS, ANSWERED = 3, 0.1
 
@@ -205,30 +207,59 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int64()))], ["opening", "bands", "shingles"])
 
 
-def clusters(texts: DataFrame) -> DataFrame:
-    """opening, cluster: distinct openings by verified similarity of their word shingles.
-
-    Inside a band bucket an opening is compared with the first one and its neighbour in
-    order, so a bucket costs as many links as it has members; the clusters are the
-    connected components of the verified links, found by label propagation with jumps."""
-    signed = materialise(texts.select("opening").mapInArrow(_signatures, "opening string, bands array<long>, shingles array<long>").withColumn("id", F.xxhash64("opening")), "openings")
-    slots = signed.select("id", F.explode("bands").alias("band"))
-    order = Window.partitionBy("band").orderBy("id")
-    near = slots.select("id", F.first("id").over(order).alias("a"), F.lag("id").over(order).alias("b"))
-    pairs = near.select("id", F.explode(F.array("a", "b")).alias("to")).where("to is not null and to != id").distinct()
+def _verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs id, to whose shingles are similar, both ways."""
     sh = signed.select("id", "shingles")
     both = pairs.join(sh, "id").join(sh.select(F.col("id").alias("to"), F.col("shingles").alias("other")), "to")
     common = F.size(F.array_intersect("shingles", "other"))
     links = materialise(both.where(common >= SIMILAR * (F.size("shingles") + F.size("other") - common)).select("id", "to"), "opening-links")
-    links = links.unionByName(links.select(F.col("to").alias("id"), F.col("id").alias("to")))
-    labels = materialise(signed.select("id", F.col("id").alias("cluster")), "opening-labels")
+    return links.unionByName(links.select(F.col("to").alias("id"), F.col("id").alias("to")))
+
+
+def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, cluster: the least cluster that the links lead to."""
     while True:
         least = links.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("cluster").alias("least"))
         new = labels.join(least, "id", "left").select("id", F.least("cluster", "least").alias("cluster"), (F.col("least") < F.col("cluster")).alias("moved"))
         new = materialise(new, "opening-labels")
         labels = new.select("id", "cluster")
         if new.where("moved").isEmpty():
-            break
+            return labels
+
+
+def _across(slots: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, to: every pair of a bucket whose members are in different clusters so far and
+    whose numbers of shingles allow the similarity. Large buckets are cut into blocks, and
+    each pair of blocks is compared apart."""
+    named = slots.join(labels, "id")
+    mixed = named.groupBy("band").agg(F.count("*").alias("members"), F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a != b")
+    # a bucket's blocks in a row; block x meets block y in the cell (least, greatest)
+    blocks = mixed.select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    part = named.join(blocks, "band").withColumn("block", F.pmod("id", F.col("blocks")).cast("int"))
+    left = part.select("band", "id", "cluster", "size", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other_block"))
+    right = part.select("band", F.col("id").alias("to"), F.col("cluster").alias("to_cluster"), F.col("size").alias("to_size"), F.col("block").alias("other_block"), F.explode(F.sequence(F.lit(0), "block")).alias("block"))
+    met = left.join(right, ["band", "block", "other_block"]).where((F.col("block") != F.col("other_block")) | (F.col("id") < F.col("to")))
+    close = (F.col("cluster") != F.col("to_cluster")) & (F.col("size") >= SIMILAR * F.col("to_size")) & (F.col("to_size") >= SIMILAR * F.col("size"))
+    return met.where(close).select(F.least("id", "to").alias("id"), F.greatest("id", "to").alias("to")).distinct()
+
+
+def clusters(texts: DataFrame) -> DataFrame:
+    """opening, cluster: distinct openings by verified similarity of their word shingles.
+
+    The clusters are the connected components of all similar pairs that share a band bucket.
+    First an opening is compared with the first one of its bucket and its neighbour in
+    order, which joins most of them; then with every member of its buckets that is still in
+    another cluster, so that no link between clusters is missed. Components are found by
+    label propagation with jumps."""
+    signed = materialise(texts.select("opening").mapInArrow(_signatures, "opening string, bands array<long>, shingles array<long>").withColumn("id", F.xxhash64("opening")), "openings")
+    slots = signed.select("id", F.size("shingles").alias("size"), F.explode("bands").alias("band"))
+    order = Window.partitionBy("band").orderBy("id")
+    near = slots.select("id", F.first("id").over(order).alias("a"), F.lag("id").over(order).alias("b"))
+    links = _verified(near.select("id", F.explode(F.array("a", "b")).alias("to")).where("to is not null and to != id").distinct(), signed)
+    labels = _spread(materialise(signed.select("id", F.col("id").alias("cluster")), "opening-labels"), links)
+    more = _verified(_across(slots, labels), signed)
+    if not more.isEmpty():
+        labels = _spread(labels, links.unionByName(more))
     return signed.select("opening", "id").join(labels, "id").select("opening", "cluster")
 
 

@@ -288,6 +288,36 @@ def test_clusters_keep_all_verified_links(spark):
     assert len({got[t] for t in texts[:6]}) == 1 and len(set(got.values())) == 4
 
 
+def test_clusters_are_the_components_of_all_similar_pairs(spark, monkeypatch):
+    # one template with varying slot words: pairs far below and above the limit share buckets
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(40)]
+    texts = sorted({" ".join(f"s{rng.randrange(3)}" if k in (3, 4, 17, 18, 30) else w for k, w in enumerate(base)) for _ in range(120)})
+    rows = spark.createDataFrame([(t,) for t in texts], "opening string")
+    (batch,) = pairs._signatures(iter(rows.toArrow().combine_chunks().to_batches()))
+    signed = batch.to_pylist()
+    root = {r["opening"]: r["opening"] for r in signed}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            x, y = set(a["shingles"]), set(b["shingles"])
+            if set(a["bands"]) & set(b["bands"]) and len(x & y) >= pairs.SIMILAR * len(x | y):
+                root[top(a["opening"])] = top(b["opening"])
+    want = {frozenset(t for t in root if top(t) == r) for r in set(map(top, root))}
+    for block in (1000, 7):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        got: dict[int, set] = {}
+        for r in pairs.clusters(rows).collect():
+            got.setdefault(r.cluster, set()).add(r.opening)
+        assert set(map(frozenset, got.values())) == want
+    assert len(want) > 1
+
+
 def test_languages():
     assert pairs.language("The rook belongs on e4, where it blocks the pawn.") == "en"
     assert pairs.language("Der Turm gehört nach e4, wo er beide Flügel beherrscht.") == "de"

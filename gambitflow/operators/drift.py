@@ -152,16 +152,23 @@ def consistent_table(files: DataFrame, types: dict[str, str], drifted: DataFrame
     """Rows of all files under the newest field names with the types asked for.
 
     types: field -> Spark type. Adds `cast_failures`, the names of the fields of a row that
-    are present but cannot be cast; such a field is null.
+    are present but cannot be cast; such a field is null. `other_fields` holds every other
+    field, with its values as text, and the values of typed fields that failed or were more
+    than one, so that nothing is lost.
     """
     drifted = changes(files) if drifted is None else drifted
     names = _canonical(files, drifted)
     named = raw_values(files).join(names, ["stream", "path"], "left").withColumn("field", F.coalesce("name", "path"))
     row = ["stream", "file_no", "line_no"]
-    wide = named.groupBy(*row, "record_key").pivot("field", list(types)).agg(F.max("text"))
+    wide = named.groupBy(*row, "record_key").agg(*[F.max(F.when(F.col("field") == f, F.col("text"))).alias(f) for f in types], F.collect_list(F.struct("field", "text")).alias("entries"))
     cast = {f: F.from_json(F.col(f"`{f}`"), t) if t.startswith("array") else F.col(f"`{f}`").try_cast(t) for f, t in types.items()}
     failed = F.filter(F.array(*[F.when(F.col(f"`{f}`").isNotNull() & c.isNull(), F.lit(f)) for f, c in cast.items()]), lambda x: x.isNotNull())
-    return wide.select(*row, "record_key", *[c.alias(f.replace(".", "_")) for f, c in cast.items()], failed.alias("cast_failures"))
+    table = wide.select(*row, "record_key", *[c.alias(f.replace(".", "_")) for f, c in cast.items()], failed.alias("cast_failures"), "entries")
+    of = lambda f: F.filter("entries", lambda e: e["field"] == f)
+    # all that the typed columns do not hold: other fields, failed casts, further values of a field
+    rest = F.filter(F.array_distinct(F.transform("entries", lambda e: e["field"])), lambda f: ~f.isin(list(types)) | F.array_contains("cast_failures", f) | (F.size(of(f)) > 1))
+    values = F.transform(rest, lambda f: F.transform(of(f), lambda e: e["text"]))
+    return table.withColumn("other_fields", F.map_from_arrays(rest, values)).drop("entries")
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

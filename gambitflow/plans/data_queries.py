@@ -26,7 +26,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_consistent_table(spark: SparkSession, d: str) -> DataFrame:
-    """The drifting result and stats lines as one typed table."""
+    """The drifting result and stats lines as one table: typed columns, all other fields in a map."""
     types = {"accuracy": "double", "total": "long", "time": "double", "usage.total_tokens": "long", "error_type_stats.format_error": "long", "task_type": "string", "inference.thinking_source": "string", "inference.latency_ms": "long", "inference.is_correct": "boolean", "format_examples": "array<string>"}
     return drift.consistent_table(table(spark, d, "raw_files"), types)
 

@@ -116,6 +116,15 @@ def test_consistent_table_follows_renames(spark):
     assert sorted(r.file_no for r in got if list(r.cast_failures) == ["b"]) == [1, 2]
 
 
+def test_consistent_table_loses_no_field(spark):
+    rows = [("s", f, f"k{k}", {("a" if f == 1 else "b"): k, ("x" if f == 1 else "y"): f"v{k}", "m": {"n": [k], "o": None}}) for f in (1, 2) for k in range(4)]
+    rows += [("s", 2, "bad", {"b": "bad", "y": "v"}), ("s", 3, "two", {"a": 8, "b": 9})]
+    got = {(r.file_no, r.record_key): r for r in drift.consistent_table(_files(spark, rows), {"b": "long"}).collect()}
+    assert all(got[f, f"k{k}"].b == k and got[f, f"k{k}"].other_fields == {"y": [f"v{k}"], "m.n": [f"[{k}]"], "m.o": [None]} for f in (1, 2) for k in range(4))
+    assert got[2, "bad"].other_fields == {"b": ["bad"], "y": ["v"]} and list(got[2, "bad"].cast_failures) == ["b"]
+    assert got[3, "two"].b == 9 and sorted(got[3, "two"].other_fields["b"]) == ["8", "9"]
+
+
 def _exact(values, p):
     v = sorted(values)
     k = max(1, -(-round(p * len(v) * 1e6) // 1_000_000))

@@ -1,10 +1,17 @@
 """Sentence units of documents in many languages and scripts (problem 9).
 
-Document-centred disambiguation: whether a word with a full stop is an abbreviation, and
-whether the capitalised word after it is a proper name, is decided from unambiguous
-occurrences in the same document (a stop before a small letter or a comma; a capital after
-a small word). Where the document is silent, statistics of the whole corpus decide, then a
-list of well-known abbreviations. Terminators, quotes and white space follow the script.
+Document-centred disambiguation. Whether a word with a full stop is an abbreviation, and
+what kind of word follows it, is decided from unambiguous occurrences:
+
+1. in the same document: the word with a stop before a small letter or a comma; the next
+   word as a capitalised word behind a small one (a proper name), or as the first word of a
+   paragraph or behind a question or exclamation mark (a word that begins sentences);
+2. where the document is silent, in the whole corpus, by the same counts;
+3. only where both are silent, by a list of well-known abbreviations.
+
+The same order decides whether a number with a stop before a move is a move number, and
+whether one before a capitalised word is an ordinal. Terminators, quotes and white space
+follow the script.
 
 Defined results: null and blank texts give no unit; positions count Unicode characters from
 0; every character that is no white space around a unit belongs to exactly one unit.
@@ -13,6 +20,7 @@ Defined results: null and blank texts give no unit; positions count Unicode char
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,13 +29,17 @@ from pyspark.sql import functions as F
 
 from gambitflow.session import materialise
 
-# fixed values: abbreviations before a name or number (never end a sentence) ...
+# fixed values, asked only where neither the document nor the corpus knows the word:
+# abbreviations before a name or number (never end a sentence) ...
 BEFORE_NAME = frozenset("mr mrs ms dr prof st capt col gen lt sgt rev hon jr sr vs cf fig figs vol vols no nos pp p ch sec ed eds m mm mme mlle hr fr frl nr bd vgl bzw sog abb kap str art pág págs sra dra srta núm lic см стр рис гл им проф акад тов κ κα кн ул д डॉ श्री د أ".split())
 # ... and those that may end one, before a capital that begins the next
 WITHIN = frozenset("etc e.g i.e p.m a.m approx ca b d usw z.b d.h u.a z.t o.ä aprox p.ej p.ex c.-à-d ej ex h env т.е т.д т.п т.к д е п г в гг δηλ μ.μ π.μ κ.λπ κλπ π.χ inc ltd co corp".split())
-#: Nouns before a plain number that is no move number.
+#: ... those of these that go on before any word, and those that a name does not follow
+_GOES_ON = frozenset("e.g i.e approx aprox b z.b d.h h ej ex p.ej p.ex т.е е δηλ".split())
+_NO_NAME = frozenset("p.m a.m μ.μ π.μ etc usw т.д т.п".split())
+#: Likewise nouns before a plain number that is no move number ...
 _COUNTED = frozenset("move moves record records round rounds part parts game games hall page table board zug partie runde runden coup ronde jugada partida ronda ход ходу туру партии партия γύρου γύρος".split())
-#: Words before an ordinal with a stop.
+#: ... and words before an ordinal with a stop.
 _ORDINAL = frozenset("am der die das den dem des im vom zum zur beim bis ab seit jeder jede jedes".split())
 
 _SAN = r"(?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)"
@@ -82,13 +94,30 @@ _CLOSING = re.compile(r"(?:^|\W)(?:т\.\s?[дп]|и др|usw|etc)$", re.IGNORECA
 _THAI = re.compile("[\u0e00-\u0eff\u1780-\u17ff]")
 
 
+#: The first word of a paragraph, or of a sentence behind a mark that ends one for certain.
+_BEGINNING = re.compile(r"(?:\A|\n[^\S\n]*\n|[!?؟。！？।](?=[\s\"“«„¿¡—]))[\s\"“”«„¿¡—(]*+([^\W\d_]++)")
+#: A word before a number; whether the number has a stop and a move behind it.
+_BEFORE_NUMBER = re.compile(rf"([^\W\d_]++)[^\S\n]+\d{{1,3}}(?![\d.,]*\d)(\.\s+(?:\.\.\.)?{_SAN}(?![^\W_]))?")
+#: A number of one or two digits with a stop before a capitalised word.
+_ORDINAL_LIKE = re.compile(r"(?<![\d.,])\d{1,2}\.\s+([^\W\d_a-z]{1}[^\W\d_]++)(?![1-8])")
+#: A word without a stop behind it.
+_PLAIN_WORD = re.compile(r"[^\W\d_]++(?!\.)")
+
+# what the corpus tells of a stopped word ...
+KNOWN, ABBREVIATION, TITLE, NAMED, NUMBERED = 1, 2, 4, 8, 16
+# ... and of the word behind it, or of a noun before numbers
+NAME, BEGINS, ORDINAL, INSIDE, COUNTED = 1, 2, 4, 8, 1
+
+
 class Evidence:
     """What a document tells without ambiguity, worked out when it is first asked."""
 
     def __init__(self, text: str):
         self.text = text
         self._names: set[str] | None = None
+        self._begins: set[str] | None = None
         self._stops: dict[str, list[int]] | None = None
+        self._counted: dict[str, list[int]] | None = None
 
     @property
     def names(self) -> set[str]:
@@ -98,17 +127,37 @@ class Evidence:
             self._names = {w for w in found if w.lower() not in self.text or not re.search(rf"\b{re.escape(w.lower())}\b", self.text)}
         return self._names
 
+    @property
+    def begins(self) -> set[str]:
+        """Words that begin a sentence for certain."""
+        if self._begins is None:
+            self._begins = set(_BEGINNING.findall(self.text))
+        return self._begins
+
+    @property
+    def counted(self) -> dict[str, list[int]]:
+        """noun -> [before a number without a move behind it, before one with it]"""
+        if self._counted is None:
+            out: dict[str, list[int]] = {}
+            for w, move in _BEFORE_NUMBER.findall(self.text):
+                out.setdefault(w.lower(), [0, 0])[bool(move)] += 1
+            self._counted = out
+        return self._counted
+
+    def stopped(self) -> Iterator[tuple[str, str]]:
+        """(word in small letters, what follows its stop)"""
+        for m in _STOPPED.finditer(self.text):
+            word = _before(self.text, 0, m.start()).lower()
+            if word and len(word) <= _LONGEST and not _MOVE_NEXT.match(self.text, m.start(1)):
+                yield word, m.group(1)
+
     @property
     def stops(self) -> dict[str, list[int]]:
         """word -> [with stop before a small letter or comma, with stop before a capital, of
         these before a proper name]"""
         if self._stops is None:
             stops: dict[str, list[int]] = {}
-            for m in _STOPPED.finditer(self.text):
-                rest = m.group(1)
-                word = _before(self.text, 0, m.start()).lower()
-                if not word or len(word) > _LONGEST or _MOVE_NEXT.match(self.text, m.start(1)):
-                    continue
+            for word, rest in self.stopped():
                 n = stops.setdefault(word, [0, 0, 0])
                 if rest[0].islower() or rest[0] in ",;:)":
                     n[0] += 1
@@ -120,11 +169,27 @@ class Evidence:
 
 
 class Splitter:
-    """corpus: abbreviations that the statistics of the whole corpus show, word -> may a
-    name follow it inside a sentence."""
+    """corpus: what the statistics of the whole corpus tell, key -> flags. Keys are "w" and
+    a stopped word, "f" and a word that follows a stop, "n" and a noun before numbers; a key
+    without such a letter and with a bool is an abbreviation, and whether names follow it."""
 
-    def __init__(self, corpus: dict[str, bool] | None = None):
-        self.corpus = corpus or {}
+    def __init__(self, corpus: dict[str, int | bool] | None = None):
+        self.corpus = {("w" + k if isinstance(v, bool) else k): (KNOWN | ABBREVIATION | (NAMED if v else 0) if isinstance(v, bool) else v) for k, v in (corpus or {}).items()}
+
+    def _about(self, low: str, told: Evidence) -> int:
+        """Flags of a stopped word: the document first, then the corpus, then the lists."""
+        own = told.stops.get(low)
+        flags = self.corpus.get("w" + low, 0)
+        if own and own[0] > 1 and (len(low) <= _PLAIN or "." in low):
+            # the document shows the abbreviation; whether names follow it, too, or the corpus
+            return flags | KNOWN | ABBREVIATION | (NAMED if own[2] or not flags else 0)
+        if flags:
+            return flags
+        if low in BEFORE_NAME:
+            return ABBREVIATION | TITLE | NAMED | NUMBERED
+        if low in WITHIN:
+            return ABBREVIATION | NUMBERED | (0 if low in _NO_NAME else NAMED) | (TITLE if low in _GOES_ON else 0)
+        return 0
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         if not text or not text.strip():
@@ -277,8 +342,8 @@ class Splitter:
             # before a small letter only a word that is no abbreviation anywhere ends a sentence
             word = _before(text, start, dot).lower()
             if word[-1:].isdigit():
-                return not word.isdigit() or len(word) > 2 or self._counted(text, start, dot, word)
-            return len(word) > 2 and "." not in word and word not in BEFORE_NAME and word not in WITHIN and word not in self.corpus and told.stops.get(word, (0,))[0] < 2
+                return not word.isdigit() or len(word) > 2 or self._counted(text, start, dot, word, told)
+            return len(word) > 2 and "." not in word and told.stops.get(word, (0,))[0] < 2 and not self._about(word, told) & ABBREVIATION
         return self._stop_ends(text, start, dot, gap, high, nxt, told)
 
     @staticmethod
@@ -286,114 +351,221 @@ class Splitter:
         prev = re.search(r"([^\W\d_]+)\s+$", text[max(start, dot - len(word) - 24) : dot - len(word)])
         return prev.group(1).lower() if prev else ""
 
-    def _counted(self, text, start, dot, word) -> bool:
+    def _counted(self, text, start, dot, word, told) -> bool:
         """Does a noun stand before a number, so that it is no move number?"""
-        return self._word_before(text, start, dot, word) in _COUNTED
+        noun = self._word_before(text, start, dot, word)
+        if not noun:
+            return False
+        own = told.counted.get(noun, (0, 0))
+        if own[0] > 1:
+            return own[0] > own[1]
+        if "n" + noun in self.corpus:
+            return bool(self.corpus["n" + noun] & COUNTED)
+        return noun in _COUNTED
+
+    def _ordinal(self, text, start, dot, word, following, told) -> bool:
+        """Is a number with a stop an ordinal of the capitalised word behind it?"""
+        if len(word) > 2 or not following:
+            return False
+        flags = self.corpus.get("f" + following, 0)
+        if following in told.begins or flags & BEGINS:
+            return False
+        return bool(flags & ORDINAL) or self._word_before(text, start, dot, word) in _ORDINAL
 
     def _stop_ends(self, text, start, dot, gap, high, nxt, told) -> bool:
         word = _before(text, start, dot)
         if not word:
             return True
         low = word.lower()
+        m = _WORD.match(text, gap, high)
+        following = m.group() if m else ""
         if word.isdigit():
-            if len(word) <= 3 and _MOVE_NEXT.match(text, gap, high) and not self._counted(text, start, dot, word):
+            if len(word) <= 3 and _MOVE_NEXT.match(text, gap, high) and not self._counted(text, start, dot, word, told):
                 return False
-            return not (len(word) <= 2 and self._word_before(text, start, dot, word) in _ORDINAL)
-        if word[-1].isdigit() or (len(low) > 6 and "." not in low and low not in BEFORE_NAME and low not in WITHIN):
+            return not self._ordinal(text, start, dot, word, following, told)
+        if word[-1].isdigit():
             return True
-
-        def name() -> bool:
-            following = _WORD.match(text, gap, high)
-            return bool(following) and following.group() in told.names
-
-        # initials
-        if len(word) == 1 and word.isupper() and not _caseless(word) and (nxt.isupper()):
+        # initials, and one letter with a stop before another one, as in z. B.
+        if len(word) == 1 and word.isupper() and not _caseless(word) and nxt.isupper():
             return False
-        # one letter with a stop before another one, as in z. B.
         if len(word) == 1 and re.match(r"[^\W\d_]\.", text[gap : gap + 2]):
             return False
-        if nxt.isdigit() and (low in BEFORE_NAME or low in WITHIN):
-            return False
-        if low == "г":  # a town, unless a year stands before it
-            return bool(re.search(r"\d\s*$", text[start : dot - 1]))
-        if low in ("д", "п", "др", "usw", "etc", "т.д", "т.п") and _CLOSING.search(text, max(start, dot - 8), dot):
+        # an abbreviation of two parts written apart is looked up as a whole, too
+        lead = re.search(r"([^\W\d_])\.\s?$", text[max(start, dot - len(word) - 4) : dot - len(word)]) if len(word) <= 2 else None
+        about = self._about(f"{lead.group(1).lower()}.{low}", told) if lead else 0
+        about = about or self._about(low, told)
+        if lead and not about:
+            about = ABBREVIATION | NAMED
+        if not about & ABBREVIATION:
+            return True
+        if nxt.isdigit():
+            return not about & (NUMBERED | TITLE)
+        if lead and _CLOSING.search(text, max(start, dot - 8), dot):
             return not _caseless(nxt) or nxt.isupper()
-        if low in BEFORE_NAME and not (len(low) == 1 and re.search(r"\bт\.\s?$", text[max(start, dot - 5) : dot - len(word)])):
+        if about & TITLE:
             return False
-        if low in WITHIN or (len(low) < 3 and re.search(r"\b(?:z|d|p|т|c)\.\s?$", text[max(start, dot - len(word) - 4) : dot - len(word)].lower())):
-            # these go on before small letters (handled above), digits and single words of
-            # scripts without capitals; before a capital that is no known name they end
-            if low in ("p.m", "a.m", "μ.μ", "π.μ", "etc", "usw"):
-                return not _caseless(nxt) or _cjk(nxt)
-            return not (_caseless(nxt) or low in ("e.g", "i.e", "approx", "aprox", "b", "z.b", "d.h", "h", "ej", "ex", "т.е", "е", "δηλ") or name())
-        own = told.stops.get(low)
-        if own and own[0] > 1 and (len(low) <= _PLAIN or "." in low):
-            return not name()
-        if low in self.corpus:
-            return not (self.corpus[low] and name())
-        return True
+        if low == "г" and not about & KNOWN:  # a town, unless a year stands before it
+            return bool(re.search(r"\d\s*$", text[start : dot - 1]))
+        flags = self.corpus.get("f" + following, 0)
+        if following in told.names or flags & (NAME | INSIDE):
+            return not about & NAMED
+        if following in told.begins or flags & BEGINS:
+            return True
+        # nothing is known of the next word: a script without capitals goes on
+        return not _caseless(nxt) or _cjk(nxt)
+
 
+#: Fewest stops of a word, or numbers behind one, that tell something.
+LEAST = 3
+#: Rows of the corpus table that are sent to every worker; a larger one is joined by document.
+BROADCAST_ROWS = 100_000
+#: Entries that a task counts before it hands them on.
+_COUNTS = 200_000
 
-def _asked(text: str) -> set[str]:
-    """The words with a stop that the corpus may be asked for: those that `_before` can
-    yield, also behind the stop of a sentence that is written on without a space."""
-    out = set()
+
+def _asked(told: Evidence) -> set[str]:
+    """The keys that a document may ask the corpus for: words that `_before` can yield, also
+    behind the stop of a sentence that is written on without a space; what follows a stop."""
+    out = {"n" + w for w in told.counted}
+    text = told.text
     for m in _ANY_STOP.finditer(text):
         w = _before(text, 0, m.start()).lower()
         while w:
             if len(w) <= _LONGEST:
-                out.add(w)
+                out.add("w" + w)
             w = w.partition(".")[2].lstrip(".-'’")
+    out.update("w" + "".join(m.group(1, 2)).lower() for m in _APART.finditer(text))
+    out.update("f" + m.group(1) for m in _FOLLOWS.finditer(text))
     return out
 
 
-def _document_words(documents: DataFrame) -> DataFrame:
-    """doc_id, word, low, cap, name: the stopped words of every document and what it tells
-    of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                stops = Evidence(text).stops
-                for w in _asked(text) | set(stops):
-                    for c, x in zip(cols, (i, w, *stops.get(w, (0, 0, 0))), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(cols)], ["doc_id", "word", "low", "cap", "name"])
-
-    return documents.mapInArrow(run, "doc_id long, word string, low long, cap long, name long")
-
-
-def corpus_abbreviations(words: DataFrame) -> DataFrame:
-    """word, named: words that the whole corpus shows to be abbreviations: mostly followed by
-    a small letter or comma, or nearly always by a proper name (named: may a name follow)."""
-    stats = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "cap", "name")])
-    return stats.where(f"(length(word) <= {_PLAIN} or instr(word, '.') > 0) and low + cap >= 5 and (low >= 0.5 * (low + cap) or name >= 0.9 * cap)").select("word", F.expr("name >= 0.5 * cap").alias("named"))
+#: Two short parts with stops, written apart.
+_APART = re.compile(r"(?<![^\W\d_])([^\W\d_]\.)\s?([^\W\d_]{1,2})(?=\.)")
+#: The word behind a stop.
+_FOLLOWS = re.compile(rf"\.[\s*_~#]+({_WORD.pattern})")
 
 
-def sentence_units(documents: DataFrame) -> DataFrame:
-    """doc_id, sent_no, start_at, end_at.
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, word, next, n: counts of a task. Kinds: s stopped word (next: what follows; ''
+    a small letter or comma, 0 a digit), c capital behind a small word, b beginning of a
+    sentence, l word without a stop, in small letters, n noun before numbers."""
+    counts: Counter[tuple[str, str, str]] = Counter()
 
-    The statistics of the corpus are joined to the stopped words of each document, so a
-    table of any size serves: it stays in the shared folder, and Spark broadcasts it only
-    while it is small."""
+    def flush() -> pa.RecordBatch:
+        keys = list(counts)
+        out = pa.RecordBatch.from_arrays([*[pa.array([k[x] for k in keys], pa.string()) for x in range(3)], pa.array(list(counts.values()), pa.int64())], ["kind", "word", "next", "n"])
+        counts.clear()
+        return out
 
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            if not text:
+                continue
+            told = Evidence(text)
+            for w, rest in told.stopped():
+                first = rest[0]
+                counts["s", w, "" if first.islower() or first in ",;:)" else "0" if first.isdigit() else rest] += 1
+            for x in _ORDINAL_LIKE.findall(text):
+                counts["s", "#", x] += 1
+            for w, n in told.counted.items():
+                if n[0]:
+                    counts["n", w, "other"] += n[0]
+                if n[1]:
+                    counts["n", w, "move"] += n[1]
+            for x in told.begins:
+                counts["b", x, ""] += 1
+            for x in set(_CAPITAL.findall(text)):
+                counts["c", x, ""] += 1
+            for x in set(_PLAIN_WORD.findall(text)):
+                if not x[0].isupper():
+                    counts["l", x, ""] += 1
+            if len(counts) > _COUNTS:
+                yield flush()
+    if counts:
+        yield flush()
+
+
+def corpus_table(texts: DataFrame) -> DataFrame:
+    """key, flags: what the whole corpus tells of stopped words, of the words behind them and
+    of nouns before numbers; counts are combined in each task, then by word."""
+    counts = texts.select("text").mapInArrow(_count_batches, "kind string, word string, next string, n long").groupBy("kind", "word", "next").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "sentence-counts")
+    of = lambda kind, name: counts.where(F.col("kind") == kind).select(F.col("word").alias("token"), F.col("n").alias(name))
+    pairs = counts.where("kind = 's'").select("word", F.col("next").alias("token"), "n")
+    tokens = pairs.where("token not in ('', '0')").groupBy("token").agg(F.sum("n").alias("after"), F.sum(F.when(F.col("word") == "#", F.col("n"))).alias("ordinals"))
+    tokens = tokens.join(of("c", "inside"), "token", "left").join(of("b", "begins"), "token", "left").withColumn("small", F.lower("token"))
+    tokens = tokens.join(of("l", "smalls").withColumnRenamed("token", "small"), "small", "left").na.fill(0)
+    name = (F.col("inside") > 0) & (F.col("smalls") <= 0.2 * F.col("inside"))
+    tokens = materialise(tokens.select("token", name.alias("name"), (F.col("begins") > 0).alias("start"), ((F.col("ordinals") >= LEAST) & (F.col("begins") <= 0.1 * F.col("ordinals"))).alias("ordinal"), ((F.col("after") >= LEAST) & (F.col("begins") == 0)).alias("inner")), "sentence-tokens")
+    kind = F.when(F.col("token") == "", "low").when(F.col("token") == "0", "digit").when(F.col("name"), "name").when(F.col("start"), "start").otherwise("unknown")
+    seen = pairs.where("word != '#'").join(tokens, "token", "left").withColumn("as", kind)
+    sums = seen.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("as") == k, F.col("n")).otherwise(0)).alias(k) for k in ("low", "digit", "name", "start", "unknown")])
+    sums = sums.join(of("l", "plain").withColumnRenamed("token", "word"), "word", "left").na.fill(0, ["plain"])
+    short = f"(length(word) <= {_PLAIN} or instr(word, '.') > 0)"
+    flags = sums.where(f"n >= {LEAST}").select(
+        F.concat(F.lit("w"), "word").alias("key"), "word",
+        # words that never begin a sentence tell little behind a longer word, which may end a phrase
+        F.expr(f"{short} and plain <= 3 * n and (low >= 0.3 * n or (start <= 0.05 * n and (length(word) <= 3 or 2 * unknown <= n))) or (low + digit >= 0.9 * n and {short})").alias("abbreviation"),
+        F.expr(f"start <= 0.05 * n and n - low >= {LEAST}").alias("title"), F.expr("2 * (name + unknown) >= name + unknown + start").alias("named"), F.expr("digit > 0 and 2 * digit >= n - low").alias("numbered"),
+    )
+    listed = F.col("word").isin(*sorted(BEFORE_NAME | WITHIN))
+    bit = lambda c, v: F.when(F.col(c), v).otherwise(0)
+    words = flags.where(F.col("abbreviation") | listed).select("key", F.when(F.col("abbreviation"), KNOWN + ABBREVIATION + bit("title", TITLE) + bit("named", NAMED) + bit("numbered", NUMBERED)).otherwise(KNOWN).alias("flags"))
+    # only words that follow an abbreviation or a number are ever asked for
+    after = pairs.join(flags.where("abbreviation").select("word").unionByName(texts.sparkSession.createDataFrame([("#",)], "word string")), "word", "left_semi").select("token").distinct()
+    follow = tokens.join(after, "token", "left_semi").select(F.concat(F.lit("f"), "token").alias("key"), (bit("name", NAME) + bit("start", BEGINS) + bit("ordinal", ORDINAL) + bit("inner", INSIDE)).alias("flags")).where("flags > 0")
+    nouns = counts.where("kind = 'n'").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("next") == "other", F.col("n")).otherwise(0)).alias("other")).where(f"n >= {LEAST}")
+    nouns = nouns.select(F.concat(F.lit("n"), "word").alias("key"), F.when(F.col("other") * 2 > F.col("n"), COUNTED).otherwise(0).alias("flags"))
+    return words.unionByName(follow).unionByName(nouns)
+
+
+def _unit_batches(known_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, no, a, e = [], [], [], []
-            for i, text, known in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for n, (x, y) in enumerate(Splitter({w["word"]: w["named"] for w in known or ()}).units(text), 1):
+            for i, text, splitter in known_of(b):
+                for n, (x, y) in enumerate(splitter.units(text), 1):
                     ids.append(i)
                     no.append(n)
                     a.append(x)
                     e.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, no, a, e)], ["doc_id", "sent_no", "start_at", "end_at"])
 
+    return run
+
+
+def _ask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, keys = [], []
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k in _asked(Evidence(text)) if text else ():
+                ids.append(i)
+                keys.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["known_id", "key"])
+
+
+def sentence_units(documents: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, sent_no, start_at, end_at.
+
+    The table of the corpus is sent to the workers while it has at most `broadcast_rows`
+    rows; a larger one is joined to what each document asks for, with the same results."""
+    schema = "doc_id long, sent_no long, start_at long, end_at long"
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = materialise(_document_words(texts), "stopped-words")
-    table = materialise(corpus_abbreviations(words), "abbreviations")
-    known = words.join(table, "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "named")).alias("known")).withColumnRenamed("doc_id", "known_id")
+    table = materialise(corpus_table(texts), "sentence-evidence")
+    rows = table.collect() if table.count() <= broadcast_rows else None
+    if rows is not None:
+        shipped = texts.sparkSession.sparkContext.broadcast({r["key"]: r["flags"] for r in rows})
+
+        def one(b):
+            splitter = Splitter(shipped.value)
+            return ((i, t, splitter) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+
+        return texts.mapInArrow(_unit_batches(one), schema)
+    asked = texts.mapInArrow(_ask_batches, "known_id long, key string")
+    known = asked.join(table, "key").groupBy("known_id").agg(F.collect_set(F.struct("key", "flags")).alias("known"))
     joined = texts.join(known, F.col("doc_id").eqNullSafe(F.col("known_id")), "left").select("doc_id", "text", "known")
-    return joined.mapInArrow(run, "doc_id long, sent_no long, start_at long, end_at long")
+
+    def each(b):
+        return ((i, t, Splitter({w["key"]: w["flags"] for w in known or ()})) for i, t, known in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+
+    return joined.mapInArrow(_unit_batches(each), schema)

@@ -132,6 +132,36 @@ def test_corpus_decides_for_any_number_of_words(spark):
     assert at == {0: ["The bbbb. Bravo stood near Bravo."], 1: ["One went.", "The bbbb. Bravo stood near Bravo."], 2: ["The nonono.", "Bravo stood near Bravo."]}
 
 
+def test_corpus_evidence_decides_without_lists(spark):
+    """Invented abbreviations, names, ordinals and nouns before numbers that no list holds:
+    the statistics of other documents change how a silent document is split."""
+    rng = random.Random(5)
+    names = ["Ombrel", "Vastor", "Quinder", "Lorvane", "Theskar", "Mirdol"]
+    starts = ["Some player waits.", "These rooks stand well!", "Every pawn moved on?", "Often a bishop leaves.", "Later it rained."]
+    teach = []
+    for _ in range(60):
+        a, b = rng.sample(names, 2)
+        teach.append(
+            f"{rng.choice(starts)} {rng.choice(starts)} We saw near {a} the old zrk. {b} who sat behind {a} again. {rng.choice(starts)}\n\n"
+            f"{rng.choice(starts)} It was on turn {rng.randint(1, 40)}, they say. He left at 6 qv.tl. and came back. {rng.choice(starts)}\n\nThey met on the 4. Brumaire of that year. It ends there on turn {rng.randint(1, 40)}."
+        )
+    asks = ["He met zrk. Quinder there. Later it rained.", "He left at 6 qv.tl. Often a bishop leaves.", "They stopped on turn 12. Nf3 was too late.", "It was the 4. Brumaire again."]
+    want = [["He met zrk. Quinder there.", "Later it rained."], ["He left at 6 qv.tl.", "Often a bishop leaves."], ["They stopped on turn 12.", "Nf3 was too late."], ["It was the 4. Brumaire again."]]
+    assert [split(t) for t in asks[:1] + asks[2:]] != want[:1] + want[2:]  # nothing in the documents themselves
+    for most in (sentences.BROADCAST_ROWS, 0):  # sent to the workers, and joined by document
+        got = sentences.sentence_units(docs(spark, [*teach, *asks]), most).where(f"doc_id >= {len(teach)}").collect()
+        at = [[asks[n][r.start_at : r.end_at] for r in sorted(got, key=lambda r: r.sent_no) if r.doc_id == len(teach) + n] for n in range(len(asks))]
+        assert at == want
+
+
+def test_document_comes_before_corpus_and_lists():
+    # the list has "capt", the document and the corpus overrule it
+    assert split("He is a capt. Vastor came.", {"wcapt": sentences.KNOWN}) == ["He is a capt.", "Vastor came."]
+    assert split("He is a capt. Vastor came.") == ["He is a capt. Vastor came."]
+    text = "The capt. left and the capt. slept near Vastor. A capt. Vastor came."
+    assert split(text, {"wcapt": sentences.KNOWN})[-1] == "A capt. Vastor came."
+
+
 def test_units_cover_every_character(spark):
     rng = random.Random(8)
     bits = ["a", "B", ". ", "!", "? ", "\n", "\n\n", "“", "”", "(", ")", "1. ", "e4 ", "。", "ก", " ", "…", "\"", "Mr.", "- x", "​", "«", "»", "**"]

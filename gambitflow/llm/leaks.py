@@ -2,15 +2,20 @@
 
 The normalised own wording of the test items is compiled into one generalised suffix
 automaton. Documents stream through it word by word; the automaton tracks the longest
-match that ends at each word. Every maximal match of at least SEED words is extended to
-both sides with at most one word in seven replaced, misspelt or added; a span of at least
-SPAN item words is a leak. Exhaustive: any such span holds, within 12 to 23 of its words,
-an exact run of SEED words and at most three errors, so no leak is missed.
+match that ends at each word. Wherever a run of at least SEED words of any item ends -
+whether it is the longest match there or a shorter one that the longest match hides - it
+is extended to both sides with at most one word in seven replaced, misspelt or added. A
+span of at least SPAN item words that begins and ends with a matched word is a leak.
+
+No leak is missed: a longer span with one error in seven holds a part of SPAN to 2 * SPAN
+words that keeps this limit by itself, so MOST_ERRORS errors are enough; and such a part
+holds an exact run of SEED words.
 
 Sentences that several items share are nobody's own; they part the wording of an item.
 
 Defined results: null or blank texts of either side give no row; an item whose own wording
-has fewer than SPAN words in a row cannot leak; equal items leak together.
+has fewer than SPAN words in a row cannot leak; equal items leak together; repeated document
+ids give one row for each item.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +35,9 @@ from pyspark.sql import types as T
 from gambitflow.llm.sentences import Splitter
 
 SPAN, PER_ERROR, SEED, MOST_ERRORS = 12, 7, 4, 3
-#: Words of items compiled into one automaton; more items are matched in further blocks.
-BLOCK_WORDS = 2_000_000
+#: Words of items compiled into one automaton, about 200 bytes each in a worker; more items
+#: are matched in further passes over the documents.
+BLOCK_WORDS = 500_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _WORDS = re.compile(r"[^\W_]+(?:['’ʼ][^\W_]+)*")
@@ -63,104 +70,152 @@ def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
 
 
 class SuffixAutomaton:
-    """Of word sequences; a state knows one place and, by the suffix links, all of them."""
-
-    def __init__(self, sequences: list[list[int]]):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [[]]
-        for no, seq in enumerate(sequences):
-            last = 0
-            for k, w in enumerate(seq):
-                last = self._extend(last, w)
-                self.ends[last].append((no, k))
-        children: list[list[int]] = [[] for _ in self.next]
-        for s, up in enumerate(self.link):
-            if up >= 0:
-                children[up].append(s)
-        self.children = children
-
-    def _new(self, length: int, nxt: dict, link: int) -> int:
-        self.next.append(nxt)
+    """Of word sequences, in flat tables: one arc table for all states, numbers in arrays.
+
+    A state stands for the runs of words that end at the same places. `top` is the first
+    state up its suffix links whose runs have at least SEED words: its places are all those
+    where the last SEED words of a match stand."""
+
+    def __init__(self, flat: array, vocabulary: int):
+        """flat: the sequences one behind the other, each with a -2 at its end."""
+        self.width = vocabulary + 1
+        self.go: dict[int, int] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        first, arc_word, arc_next = array("i", [-1]), array("i"), array("i")
+        self._build = (first, arc_word, arc_next)
+        self.place, self.place_next = array("i", [-1]), array("i", [-1]) * len(flat)
+        last = 0
+        for k, w in enumerate(flat):
+            if w < 0:
+                last = 0
+                continue
+            last = self._extend(last, w)
+            self.place_next[k] = self.place[last]
+            self.place[last] = k
+        del self._build
+        n = len(self.link)
+        self.child, self.sibling = array("i", [-1]) * n, array("i", [-1]) * n
+        self.count, self.top = array("i", bytes(4 * n)), array("i", range(n))
+        order = sorted(range(1, n), key=self.length.__getitem__)
+        for s in order:
+            up = self.link[s]
+            self.sibling[s] = self.child[up]
+            self.child[up] = s
+            if self.length[up] >= SEED:
+                self.top[s] = self.top[up]
+        for s in reversed(order):
+            k = self.place[s]
+            while k >= 0:
+                self.count[s] += 1
+                k = self.place_next[k]
+            self.count[self.link[s]] += self.count[s]
+
+    def _state(self, length: int, link: int) -> int:
         self.link.append(link)
         self.length.append(length)
-        self.ends.append([])
-        return len(self.next) - 1
-
-    def _split(self, p: int, w: int, q: int) -> int:
-        clone = self._new(self.length[p] + 1, dict(self.next[q]), self.link[q])
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = clone
+        self.place.append(-1)
+        self._build[0].append(-1)
+        return len(self.link) - 1
+
+    def _arc(self, s: int, w: int, to: int) -> None:
+        first, word, nxt = self._build
+        self.go[s * self.width + w] = to
+        word.append(w)
+        nxt.append(first[s])
+        first[s] = len(word) - 1
+
+    def _divide(self, p: int, w: int, q: int) -> int:
+        """Part state q from its longer runs; the new state has the arcs of q."""
+        new = self._state(self.length[p] + 1, self.link[q])
+        first, word, nxt = self._build
+        arc = first[q]
+        while arc >= 0:
+            self._arc(new, word[arc], self.go[q * self.width + word[arc]])
+            arc = nxt[arc]
+        self.link[q] = new
+        while p >= 0 and self.go.get(p * self.width + w) == q:
+            self.go[p * self.width + w] = new
             p = self.link[p]
-        return clone
+        return new
 
     def _extend(self, last: int, w: int) -> int:
-        q = self.next[last].get(w)
+        go, width = self.go, self.width
+        q = go.get(last * width + w)
         if q is not None:  # the sequence so far is known already
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-        cur = self._new(self.length[last] + 1, {}, 0)
+            return q if self.length[q] == self.length[last] + 1 else self._divide(last, w, q)
+        cur = self._state(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = cur
+        while p >= 0 and p * width + w not in go:
+            self._arc(p, w, cur)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][w]
-            self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
+            q = go[p * width + w]
+            self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._divide(p, w, q)
         return cur
 
-    def places(self, state: int) -> Iterator[tuple[int, int]]:
-        """(sequence, position of the last word) of every occurrence of a state's words."""
+    def places(self, state: int) -> Iterator[int]:
+        """Position of the last word of every occurrence of a state's runs."""
         stack = [state]
         while stack:
             s = stack.pop()
-            yield from self.ends[s]
-            stack += self.children[s]
-
-    def maximal(self, text: list[int]) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of each longest match that the next word does not prolong."""
-        state, n, nxt, link, length = 0, 0, self.next, self.link, self.length
+            k = self.place[s]
+            while k >= 0:
+                yield k
+                k = self.place_next[k]
+            s = self.child[s]
+            while s >= 0:
+                stack.append(s)
+                s = self.sibling[s]
+
+    def runs(self, text: list[int]) -> Iterator[tuple[int, int]]:
+        """(k, state): the last SEED words up to text[k] stand at the places of `state`, and
+        some of these go on otherwise than the text. Places that all go on alike are left
+        for the next word, so a text that follows one item costs a look-up a word."""
+        go, width, link, length, top, count = self.go, self.width, self.link, self.length, self.top, self.count
+        state = n = 0
         for k, w in enumerate(text):
-            to = nxt[state].get(w) if w >= 0 else None
-            if to is not None:
-                state, n = to, n + 1
-                continue
-            if n >= SEED:
-                yield k, n, state
             if w < 0:
                 state = n = 0
                 continue
-            grown = False
-            while state and w not in nxt[state]:
-                # a shorter suffix of the match may go on at other places
+            to = go.get(state * width + w)
+            while to is None and state:
+                # a shorter run may go on at other places
                 state = link[state]
                 n = length[state]
-            if w in nxt[state]:
-                state, n, grown = nxt[state][w], n + 1, True
-            if not grown:
+                to = go.get(state * width + w)
+            if to is None:
                 n = 0
-        if n >= SEED:
-            yield len(text), n, state
-
-
-def _reach(item: list[int], text: list[int], i: int, j: int, step: int) -> list[int]:
-    """Item words matched beyond (i, j) in one direction, at most, with 0, 1, .. errors; a
-    span ends with a matched word, replaced words inside count as words of the item."""
-    best = [0] * (MOST_ERRORS + 1)
-    stack = [(i, j, 0, 0)]
-    seen = set()
+                continue
+            state, n = to, n + 1
+            if n >= SEED:
+                t = top[state]
+                nxt = text[k + 1] if k + 1 < len(text) else -1
+                on = go.get(t * width + nxt) if nxt >= 0 else None
+                if on is None or count[on] < count[t]:
+                    yield k, t
+
+
+def _reach(flat: array, text: list[int], i: int, j: int, step: int) -> list[tuple[int, int]]:
+    """(item words, text words) beyond (i, j) in one direction, at most, with up to 0, 1, ..
+    errors; the last word of each is a matched one. Replaced words count as item words."""
+    best = [(0, 0)] * (MOST_ERRORS + 1)
+    stack, seen = [(i, j, 0)], set()
     while stack:
-        a, b, n, e = stack.pop()
-        while 0 <= a < len(item) and 0 <= b < len(text) and item[a] == text[b]:
-            a, b, n = a + step, b + step, n + 1
+        a, b, e = stack.pop()
+        begun = a
+        while 0 <= a < len(flat) and 0 <= b < len(text) and flat[a] == text[b]:
+            a, b = a + step, b + step
         if (a, b, e) in seen:
             continue
         seen.add((a, b, e))
-        # n counts words up to here; trailing errors are never at the end of a longest span
-        best[e] = max(best[e], n)
+        if a != begun:
+            best[e] = max(best[e], ((a - i) * step, (b - j) * step))
         if e < MOST_ERRORS and 0 <= b < len(text):
-            if 0 <= a < len(item):
-                stack.append((a + step, b + step, n + 1, e + 1))
-            stack.append((a, b + step, n, e + 1))
+            if 0 <= a < len(flat) and flat[a] >= 0:
+                stack.append((a + step, b + step, e + 1))
+            stack.append((a, b + step, e + 1))
+    for e in range(1, len(best)):  # an error less is allowed too
+        best[e] = max(best[e], best[e - 1])
     return best
 
 
@@ -168,46 +223,52 @@ class LeakFinder:
     def __init__(self, items: list[tuple[int, list[str]]]):
         """items: (item_id, words of one stretch of its own wording)."""
         self.vocabulary: dict[str, int] = {}
-        self.owner = [i for i, _ in items]
-        self.sequences = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws] for _, ws in items]
-        self.automaton = SuffixAutomaton(self.sequences)
-
-    def find(self, text: str | None) -> dict[int, tuple[int, int]]:
-        """item_id -> the characters of its first leaked span."""
+        self.flat, self.owner, self.starts = array("i"), array("q"), array("i")
+        for i, ws in items:
+            self.owner.append(i)
+            self.starts.append(len(self.flat))
+            self.flat.extend(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws)
+            self.flat.append(-2)
+        self.automaton = SuffixAutomaton(self.flat, len(self.vocabulary))
+
+    def spans(self, text: str | None, every: bool = True) -> dict[int, list[tuple[int, int]]]:
+        """item_id -> the characters of its leaked spans; only the first one without `every`."""
         if not text:
             return {}
         ws, at = words(text)
         if len(ws) < SPAN:
             return {}
-        known = self.vocabulary
+        known, flat = self.vocabulary, self.flat
         seq = [known.get(w, -1) for w in ws]
-        found: dict[int, tuple[int, int]] = {}
-        for end, n, state in self.automaton.maximal(seq):
-            for no, last in self.automaton.places(state):
-                owner = self.owner[no]
-                if owner in found:
-                    continue
-                item = self.sequences[no]
-                if n >= SPAN:
-                    found[owner] = (at[end - n][0], at[end - 1][1])
+        found: dict[int, list[tuple[int, int]]] = {}
+        for k, state in self.automaton.runs(seq):
+            nxt = seq[k + 1] if k + 1 < len(seq) else -1
+            for p in self.automaton.places(state):
+                if flat[p + 1] == nxt:
+                    continue  # this run goes on
+                owner = self.owner[bisect_right(self.starts, p) - 1]
+                if not every and owner in found:
                     continue
-                left = self._side(item, seq, last - n, end - n - 1, -1)
-                right = self._side(item, seq, last + 1, end, 1)
-                for e in range(MOST_ERRORS + 1):
-                    if any(n + left[x] + right[e - x] >= max(SPAN, PER_ERROR * e) for x in range(e + 1)):
-                        found[owner] = (at[end - n][0], at[end - 1][1])
-                        break
+                span = self._span(seq, p, k)
+                if span:
+                    found.setdefault(owner, []).append((at[span[0]][0], at[span[1]][1]))
         return found
 
-    @staticmethod
-    def _side(item, seq, i, j, step) -> list[int]:
-        best = _reach(item, seq, i, j, step)
-        for e in range(1, len(best)):  # an error less is allowed too
-            best[e] = max(best[e], best[e - 1])
-        return best
-
+    def find(self, text: str | None) -> dict[int, tuple[int, int]]:
+        """item_id -> the characters of its first leaked span."""
+        return {i: s[0] for i, s in self.spans(text, every=False).items()}
 
-_KEPT: dict[int, LeakFinder] = {}
+    def _span(self, seq: list[int], p: int, k: int) -> tuple[int, int] | None:
+        """First and last word of the span around the run that ends at item word p and text
+        word k, if it is a leak."""
+        left = _reach(self.flat, seq, p - SEED, k - SEED, -1)
+        right = _reach(self.flat, seq, p + 1, k + 1, 1)
+        best = None
+        for x, (n, a) in enumerate(left):
+            for y, (m, b) in enumerate(right):
+                if n + m + SEED >= max(SPAN, PER_ERROR * (x + y)) and (best is None or n + m > best[0]):
+                    best = (n + m, k - SEED + 1 - a, k + b)
+        return best[1:] if best else None
 
 
 def own_wording(items: DataFrame) -> DataFrame:
@@ -255,36 +316,54 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
         yield block
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, start_at, end_at: one row for each document and item it leaks."""
+def _matched(documents: DataFrame, items: DataFrame, every: bool) -> DataFrame:
     spark = documents.sparkSession
     schema = "doc_id long, item_id long, start_at long, end_at long"
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     out = spark.createDataFrame([], schema)
     for block in _blocks(items):
-        shipped = spark.sparkContext.broadcast(block)
+        # compiled once; a worker process loads the tables once for all its tasks
+        shipped = spark.sparkContext.broadcast(LeakFinder(block))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            key = hash(tuple((i, tuple(w)) for i, w in shipped.value[:50])) ^ len(shipped.value)
-            if key not in _KEPT:
-                _KEPT.clear()
-                _KEPT[key] = LeakFinder(shipped.value)
-            finder = _KEPT[key]
+            finder = shipped.value
             for b in batches:
                 cols: tuple[list, ...] = ([], [], [], [])
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for item, (x, y) in sorted(finder.find(text).items()):
-                        for c, v in zip(cols, (i, item, x, y), strict=True):
-                            c.append(v)
+                    for item, spans in sorted(finder.spans(text, every).items()):
+                        for x, y in spans:
+                            for c, v in zip(cols, (i, item, x, y), strict=True):
+                                c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start_at", "end_at"])
 
         out = out.unionByName(texts.mapInArrow(run, schema))
     return out
 
 
+def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, start_at, end_at (characters from 0, end exclusive): every leaked span
+    of each document and item; spans that lie inside another one of theirs are left out."""
+    inside = F.exists("s", lambda y: (y["start_at"] <= F.col("x.start_at")) & (y["end_at"] >= F.col("x.end_at")) & (y != F.col("x")))
+    spans = _matched(documents, items, True).groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("start_at", "end_at")).alias("s"))
+    return spans.select("doc_id", "item_id", "s", F.explode("s").alias("x")).where(~inside).select("doc_id", "item_id", "x.*")
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id; an item belongs to one block or several, so pairs are made distinct."""
-    return leaked_spans(documents, items).select("doc_id", "item_id").distinct()
+    return _matched(documents, items, False).select("doc_id", "item_id").distinct()
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, most: float = 0.5) -> DataFrame:
+    """doc_id, text, removed of the documents that leak: the leaked spans are cut out; a
+    document of which they cover more than the share `most` is removed whole (text null)."""
+    spans = _matched(documents, items, True).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_at", "end_at"))).alias("s")).withColumnRenamed("doc_id", "_leaky")
+    # walk along the sorted spans: what is kept so far, and up to where the text is told
+    rest = lambda acc, x: F.when(x["start_at"] > acc["to"], F.concat(acc["kept"], F.substr(F.col("text"), acc["to"].cast("int") + 1, (x["start_at"] - acc["to"]).cast("int")))).otherwise(acc["kept"])
+    begin = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("to"))
+    walk = F.aggregate("s", begin, lambda acc, x: F.struct(rest(acc, x).alias("kept"), F.greatest(acc["to"], x["end_at"]).alias("to")), lambda acc: F.concat(acc["kept"], F.substr(F.col("text"), acc["to"].cast("int") + 1)))
+    cut = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(spans, F.col("doc_id") == F.col("_leaky")).select("doc_id", F.length("text").alias("whole"), walk.alias("kept"))
+    share = 1 - F.length("kept") / F.col("whole")
+    return cut.select("doc_id", F.when(share <= most, F.col("kept")).alias("text"), F.round(share, 6).alias("removed"))
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -221,6 +221,64 @@ def test_leaks_match_brute_force():
     assert 20 < hits < 140
 
 
+def test_leaks_of_several_items_match_brute_force():
+    """Items that share long runs, so that the longest match of one hides those of others."""
+    rng = random.Random(11)
+    pairs_found = 0
+    for _ in range(120):
+        vocabulary = [f"w{i}" for i in range(rng.choice([6, 14, 40]))]
+        base = [rng.choice(vocabulary) for _ in range(30)]
+        items = []
+        for i in range(5):
+            a = rng.randint(0, 12)
+            items.append((i, [rng.choice(vocabulary) for _ in range(rng.randint(0, 6))] + base[a : a + rng.randint(8, 18)] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 6))]))
+        a = rng.randint(0, 10)
+        text = base[a : a + rng.randint(10, 20)]
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = rng.choice([*vocabulary, "other"])
+        found = set(leaks.LeakFinder(items).find(" ".join(text)))
+        want = {i for i, ws in items if len(ws) >= 12 and brute(ws, text)}
+        assert found == want, (items, text)
+        pairs_found += len(found)
+    assert pairs_found > 100
+
+
+def test_shorter_run_of_another_item_leaks_too():
+    run = [f"w{k}" for k in range(12)]
+    items = [(1, [*run, *"abc"]), (2, ["q", *run, *"bcd"])]
+    assert set(leaks.LeakFinder(items).find(" ".join(["q", *run]))) == {1, 2}
+    # and where the longer match goes on behind the end of the shorter one
+    assert set(leaks.LeakFinder(items).find(" ".join(["q", *run, "b", "c", "d"]))) == {1, 2}
+
+
+def test_three_errors_are_enough(monkeypatch):
+    rng = random.Random(12)
+    cases = []
+    for _ in range(60):
+        item = [f"w{k}" for k in range(rng.randint(24, 70))]
+        text = list(item)
+        for _ in range(len(item) // 7):
+            k = rng.randrange(1, len(text) - 1)
+            if rng.random() < 0.6:
+                text[k] = "other"
+            else:
+                text.insert(k, "more")
+        cases.append((item, text))
+    few = [bool(leaks.LeakFinder([(1, i)]).find(" ".join(t))) for i, t in cases]
+    monkeypatch.setattr(leaks, "MOST_ERRORS", 9)
+    assert few == [bool(leaks.LeakFinder([(1, i)]).find(" ".join(t))) for i, t in cases] and any(few)
+
+
+def test_leaks_removed(spark):
+    own = " ".join(f"own{k}" for k in range(14))
+    items = spark.createDataFrame([(1, own + ".")], "item_id long, text string")
+    texts = [f"Before it. {own}, and behind it comes much more text that nobody asked for, on and on until the very end of the page.", own, None, "Nothing here."]
+    got = {r.doc_id: r for r in leaks.without_leaks(docs(spark, texts), items).collect()}
+    assert set(got) == {0, 1} and got[0].text.startswith("Before it. , and behind") and got[1].text is None
+    spans = leaks.leaked_spans(docs(spark, texts), items).collect()
+    assert sorted((r.doc_id, texts[r.doc_id][r.start_at : r.end_at]) for r in spans) == [(0, own), (1, own)]
+
+
 def test_leaks_through_markup_and_shared_sentences(spark):
     own = "Beside the amber mill of Grenholt some quiet baker often paints every rook from a1 to b2."
     shared = "Answer with one single move and write nothing else before the closing line of your reply."

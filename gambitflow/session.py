@@ -25,8 +25,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir). Only where that is
-    unset - local tests - a temporary folder of this machine is set instead."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Only where that is unset and
+    the whole session runs on this machine - tests - a temporary folder is set instead; on a
+    cluster each executor would write to its own disk, so that is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gambitflow-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
@@ -53,4 +56,15 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that no later step reads; loops call it once a pass."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

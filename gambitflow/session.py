@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gambitflow-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()

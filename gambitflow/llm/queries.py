@@ -1,4 +1,4 @@
-"""Queries of the text problems 1 and 6 to 9."""
+"""Queries of the problems 1 and 5 to 9."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gambitflow.llm import endings, leaks, pairs, sentences, tokens
+from gambitflow.llm import endings, leaks, pairs, percentile_queries, sentences, tokens
 from gambitflow.session import materialise
 from gambitflow.sources.tables import table
 
@@ -52,6 +52,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    **percentile_queries.QUERIES,
     "p6_found": p6_found,
     "p6_limits": p6_limits,
     "p6_rates": p6_rates,
@@ -60,5 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_report": p8_report,
     "p9_found": p9_found,
 }
-#: SQL cannot express these; tests/llm holds brute-force versions and round trips.
-SQL: dict[str, str] = {}
+#: SQL cannot express the others; tests/llm holds brute-force versions and round trips.
+SQL: dict[str, str] = dict(percentile_queries.SQL)

@@ -1,17 +1,14 @@
-"""Queries of the general data problems 2 to 5, with SQL where it can say the same."""
+"""Queries of the general data problems 2 to 4, with SQL where it can say the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gambitflow.operators import deliveries, drift, nested, quantiles
+from gambitflow.operators import deliveries, drift, nested
 from gambitflow.sources.tables import table
 
-PERCENTILES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return deliveries.surplus_copies(table(spark, d, "results"), table(spark, d, "openai_gpt_5"))
@@ -31,44 +28,13 @@ def p4_consistent_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "raw_files"), types)
 
 
-def _measures(spark: SparkSession, d: str) -> DataFrame:
-    """task_type, batch_id, metric, value of the two measured columns of results."""
-    tasks = table(spark, d, "tasks").select(deliveries.clean_identifier(F.col("task_id")).alias("task"), "task_type")
-    rows = table(spark, d, "results").select(deliveries.clean_identifier(F.col("task_id")).alias("task"), "batch_id", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("completion_tokens", "latency_ms")])).alias("m"))
-    # summed up by task before the join: the join moves distinct values, not rows
-    counts = quantiles.summary(rows.select("task", "batch_id", "m.metric", "m.value"), ["task", "metric"], "value", ["batch_id"])
-    return counts.join(tasks, "task").groupBy("task_type", "metric", "batch_id", "value").agg(F.sum("n").alias("n"))
-
-
-def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles per task type, from the summaries of single batches."""
-    counts = quantiles.combine(_measures(spark, d), group=["task_type", "metric"])
-    return quantiles.percentiles(counts, ["task_type", "metric"], PERCENTILES)
-
-
-def p5_by_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Medians of single batches over all task types."""
-    counts = quantiles.combine(_measures(spark, d), group=["batch_id", "metric"])
-    return quantiles.percentiles(counts, ["batch_id", "metric"], [0.5])
-
-
 _INSTANT = """epoch_us(try_cast(CASE WHEN regexp_matches(trim(created_at), '(Z|[+-][0-9]{2}:?[0-9]{2})$')
        THEN trim(created_at) ELSE trim(created_at) || 'Z' END AS TIMESTAMPTZ))"""
-_MEASURE = """WITH m AS (
-  SELECT t.task_type, r.batch_id, 'completion_tokens' AS metric, r.completion_tokens AS value
-  FROM results r JOIN tasks t ON lower(trim(r.task_id, ' ' || chr(9) || chr(10) || chr(13))) = lower(trim(t.task_id, ' ' || chr(9) || chr(10) || chr(13))) WHERE r.completion_tokens IS NOT NULL
-  UNION ALL
-  SELECT t.task_type, r.batch_id, 'latency_ms', r.latency_ms
-  FROM results r JOIN tasks t ON lower(trim(r.task_id, ' ' || chr(9) || chr(10) || chr(13))) = lower(trim(t.task_id, ' ' || chr(9) || chr(10) || chr(13))) WHERE r.latency_ms IS NOT NULL)
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_consistent_table": p4_consistent_table,
-    "p5_percentiles": p5_percentiles,
-    "p5_by_batch": p5_by_batch,
 }
 
 SQL: dict[str, str] = {
@@ -80,10 +46,4 @@ UNION ALL
 SELECT 'openai_gpt_5', rec_id FROM (
   SELECT rec_id, row_number() OVER (PARTITION BY run_key, lower(trim(task_id, ' ' || chr(9) || chr(10) || chr(13))) ORDER BY rec_id) AS k
   FROM openai_gpt_5) WHERE k > 1""",
-    "p5_percentiles": _MEASURE
-    + """SELECT task_type, metric, p::DOUBLE AS p, v AS value, n FROM (
-  SELECT task_type, metric, unnest([0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS p,
-         unnest(quantile_disc(value, [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])) AS v, count(*) AS n
-  FROM m GROUP BY task_type, metric)""",
-    "p5_by_batch": _MEASURE + "SELECT batch_id, metric, 0.5::DOUBLE AS p, quantile_disc(value, 0.5) AS value, count(*) AS n FROM m GROUP BY batch_id, metric",
 }

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from gambitflow.operators import deliveries, drift, nested, quantiles
+from gambitflow.operators import deliveries, drift, nested
 
 RESULTS = "result_id long, run_id long, task_id string, created_at string, batch_id string, message string, part int"
 LINES = "rec_id long, run_key string, task_id string, batch_id string"
@@ -123,33 +123,3 @@ def test_consistent_table_loses_no_field(spark):
     assert all(got[f, f"k{k}"].b == k and got[f, f"k{k}"].other_fields == {"y": [f"v{k}"], "m.n": [f"[{k}]"], "m.o": [None]} for f in (1, 2) for k in range(4))
     assert got[2, "bad"].other_fields == {"b": ["bad"], "y": ["v"]} and list(got[2, "bad"].cast_failures) == ["b"]
     assert got[3, "two"].b == 9 and sorted(got[3, "two"].other_fields["b"]) == ["8", "9"]
-
-
-def _exact(values, p):
-    v = sorted(values)
-    k = max(1, -(-round(p * len(v) * 1e6) // 1_000_000))
-    return v[k - 1]
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_percentiles_match_sorting(spark, seed):
-    rng = random.Random(seed)
-    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), "day1" if rng.random() < 0.5 else "day2", rng.choice([0, 7, 7, -3, rng.randint(-(10**12), 10**12), None])) for _ in range(600)]
-    rows.append(("one", "day1", 5))
-    rows.append(("none", "day1", None))
-    df = spark.createDataFrame(rows, "g string, part string, x long")
-    ps = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    days = [quantiles.summary(df.where(f"part = '{d}'"), ["g"], "x") for d in ("day1", "day2")]
-    got = {(r.g, r.p): (r.value, r.n) for r in quantiles.percentiles(quantiles.combine(*days, group=["g"]), ["g"], ps).collect()}
-    want = {}
-    for g in {r[0] for r in rows}:
-        v = [r[2] for r in rows if r[0] == g and r[2] is not None]
-        want |= {(g, p): (_exact(v, p), len(v)) for p in ps if v}
-    assert got == want
-
-
-def test_percentiles_without_broadcast_and_empty(spark):
-    df = spark.createDataFrame([("a", i) for i in range(100)], "g string, x long")
-    s = quantiles.summary(df, ["g"], "x")
-    assert [r.value for r in quantiles.percentiles(s, ["g"], [0.5], broadcast_limit=0).collect()] == [49]
-    assert quantiles.percentiles(s.limit(0), ["g"], [0.5]).count() == 0

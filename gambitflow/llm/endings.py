@@ -3,8 +3,11 @@
 Lengths of every value are recomputed under alternative encodings and escapes; a length at
 which a source's values pile up with next to nothing beyond it is a hidden storage limit.
 Then the ending of each value is inspected: it is `cut` (inside a word or sentence),
-`complete`, or `weak` - a form that a complete text may have too, such as an abbreviation
-with its stop. Weak endings are cuts exactly at a hidden limit.
+`complete`, or `weak` - a form that a complete text may have too, such as a number, a
+letter or a time of day with its stop, a marked move, or a quotation that opens a sentence.
+The limit decides weak endings: at a limit, or so close below it that the rest of a
+character or a space was dropped, they are cuts; elsewhere they are complete. Values cut
+away from any limit were cut in transfer.
 
 Defined results: null, blank and mere marks are no cut; a value that ends a sentence at a
 limit is no case; repeated lines count each.
@@ -52,6 +55,10 @@ _SHAPES = [
 ]
 
 
+#: Items of an answer with a clause of three words or more behind them.
+_CLAUSE = re.compile(rf"\s*(?:(?:{'|'.join(p.pattern for p in _SHAPES[:6])})\s*,\s*)*(?:{'|'.join(p.pattern for p in _SHAPES[:6])})(?:\s+[^\W\d_]+){{3,}}[.!]?\s*$")
+
+
 def _shape(item: str) -> int:
     return next((k for k, p in enumerate(_SHAPES) if p.fullmatch(item)), -1)
 
@@ -66,7 +73,7 @@ def answer_of(line: str) -> str | None:
     if not m:
         return None
     rest = line[m.end() :]
-    if "once it is checked" in rest or re.search(r"[.!?]\s+\S+\s+\S+\s+\S", rest):
+    if re.search(r"[.!?]\s+\S+\s+\S+\s+\S", rest) or _CLAUSE.match(rest):
         return None  # only the announcement of an answer, or text after it
     if "boxed{" in m.group():
         rest = rest.split("}")[0]
@@ -141,13 +148,10 @@ def verdict(text: str | None) -> str:
         if stem.endswith("."):
             return "cut" if re.search(r"\d\.*$", stem) else "weak"
         if word.isdigit():
-            before = re.search(r"([^\W\d_]+)\s+\S*$", stem)
-            noun = before.group(1).lower() if before else ""
-            if noun in ("move", "in", "from", "record", "round", "part", "ronda", "runde", "coup", "jugada", "of", "to", "on", "year", "is", "est", "es", "lautet"):
-                return "complete"
-            return "cut" if len(word) < 4 else "complete"
-        if re.fullmatch(r"v?\d+", word) or (re.fullmatch(r"[^\W\d_]", word) and word not in "aiгд"):
-            return "cut"
+            # a move number, or the end of a sentence; a year is no move number
+            return "weak" if len(word) < 4 else "complete"
+        if re.fullmatch(r"v?\d+|[^\W\d_]", word):
+            return "weak"
         if word in ("etc", "usw", "д", "т.д"):
             return "complete"
         if word in ("p.m", "a.m"):
@@ -157,9 +161,9 @@ def verdict(text: str | None) -> str:
     if re.search(r"[!?]$", core) and core == plain and _MOVE_END.search(re.sub(r"[!?]+$", "", core)):
         # a marked move may stand in the middle of a sentence
         if core.endswith("!") and re.search(r"\d\.\s*\S+$", core):
-            return "cut"
+            return "weak"
         if re.search(r"\?!$|!\?$|!!$|\?\?$", core):
-            return "cut"
+            return "weak"
     if plain != core and re.match(r"\s*[“„«\"][^“„«\"]*[!?.][”“»\"]$", re.split(r"(?<=[.!?])\s+(?=[“„«\"])", para)[-1].strip() or " "):
         return "weak"  # a quotation that opens a sentence usually goes on
     if core.endswith(";"):
@@ -172,30 +176,38 @@ def _thai_end(s: str) -> bool:
     return bool(s) and "฀" <= s[-1] <= "๿"
 
 
-def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = ("response", "thinking_content")
-    for b in batches:
-        head: list[list] = [[], [], [], []]
-        sizes: list[list[int]] = []
-        ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for n, field in enumerate(fields):
-            for i, key, text in zip(ids, keys, b.column(2 + n).to_pylist(), strict=True):
-                found = verdict(text)
-                if found:
-                    for c, v in zip(head, (i, key, field, found), strict=True):
-                        c.append(v)
-                    plain = text.isascii() and not any(c in text for c in "&<>\"'\\\n\t\r")
-                    sizes.append([len(text)] * len(MEASURES) if plain else [f(text) for f in MEASURES.values()])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(head[0], pa.int64()), *[pa.array(c, pa.string()) for c in head[1:]], pa.array(sizes, pa.list_(pa.int32()))], ["rec_id", "run_key", "field", "verdict", "sizes"]
-        )
-
-
-def inspected(lines: DataFrame) -> DataFrame:
-    """rec_id, run_key, field, verdict, sizes of every value with words in it."""
-    return lines.select("rec_id", "run_key", F.col("inference.response").alias("response"), F.col("inference.thinking_content").alias("thinking_content")).mapInArrow(
-        _inspect, "rec_id long, run_key string, field string, verdict string, sizes array<int>"
-    )
+FIELDS = ("response", "thinking_content")
+
+
+def _inspect(fields: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            head: list[list] = [[], [], [], []]
+            sizes: list[list[int]] = []
+            slack: list[int] = []
+            ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for n, field in enumerate(fields):
+                for i, key, text in zip(ids, keys, b.column(2 + n).to_pylist(), strict=True):
+                    found = verdict(text)
+                    if found:
+                        for c, v in zip(head, (i, key, field, found), strict=True):
+                            c.append(v)
+                        plain = text.isascii() and not any(c in text for c in "&<>\"'\\\n\t\r")
+                        sizes.append([len(text)] * len(MEASURES) if plain else [f(text) for f in MEASURES.values()])
+                        # a space may be dropped at the cut, or all bytes but the last of a character
+                        top = max(text)
+                        slack.append(1 if top < "\u0800" else 2 if top < "\U00010000" else 3)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(head[0], pa.int64()), *[pa.array(c, pa.string()) for c in head[1:]], pa.array(sizes, pa.list_(pa.int32())), pa.array(slack, pa.int32())], ["rec_id", "run_key", "field", "verdict", "sizes", "slack"]
+            )
+
+    return run
+
+
+def inspected(lines: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """rec_id, run_key, field, verdict, sizes and slack (how far below a limit a cut value of
+    such characters may end) of every value with words in it."""
+    return lines.select("rec_id", "run_key", *[F.col(f"inference.{f}").alias(f) for f in fields]).mapInArrow(_inspect(fields), "rec_id long, run_key string, field string, verdict string, sizes array<int>, slack int")
 
 
 def hidden_limits(seen: DataFrame, least: int = 4, beyond: float = 0.02, times: float = 4.0) -> DataFrame:
@@ -218,7 +230,7 @@ def cut_values(seen: DataFrame) -> DataFrame:
     limits = hidden_limits(seen).groupBy("run_key", "field").agg(F.collect_list(F.struct("m", "size")).alias("limits"))
     # one row per source and field, however many values there are
     known = seen.join(limits, [seen.run_key.eqNullSafe(limits.run_key), seen.field == limits.field], "left").select(seen["*"], "limits")
-    hit = F.exists(F.coalesce("limits", F.array().cast("array<struct<m:int,size:int>>")), lambda x: F.element_at("sizes", x["m"] + 1) == x["size"])
+    hit = F.exists(F.coalesce("limits", F.array().cast("array<struct<m:int,size:int>>")), lambda x: F.element_at("sizes", x["m"] + 1).between(x["size"] - F.col("slack"), x["size"]))
     return known.withColumn("at_limit", hit).where("verdict = 'cut' or (verdict = 'weak' and at_limit)").select("rec_id", "run_key", "field", "verdict", "at_limit")
 
 

@@ -1,21 +1,22 @@
 """Broken prompt and response pairs (problem 1).
 
-Response openings - the first sentences and their clauses, with numbers, squares and moves
-masked - are clustered by MinHash with verified similarity. A template that recurs across
-unrelated prompts, but hardly ever in responses that answer, is a refusal. Checks of copy,
-language and termination label the other defects.
+The sentences of the responses and their clauses, with numbers, squares and moves masked,
+are clustered by MinHash with verified similarity. A template that recurs across unrelated
+prompts, but hardly ever in responses that answer, is a refusal; no list of phrases is
+asked. Checks of copy, language and termination label the other defects; languages are told
+by profiles learnt from a labelled corpus.
 
 Defined results: a null response or a null record is `empty`; a null prompt has neither a
 copy nor a language to compare; the order of the labels is empty, copy, refusal, truncated,
-other_language; repeated lines count each.
+other_language; repeated lines count each. A way of declining that stands with fewer than
+PROMPTS prompts in the whole input can't be told from any other sentence and is none.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambitflow.llm.endings import _ANSWER, answer_of, cut_values, inspected
-from gambitflow.session import materialise
+from gambitflow.llm.languages import Profiles, learn, plain_profiles
+from gambitflow.session import materialise, release
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -32,32 +34,12 @@ BLOCK = 1000
 #: A template is a refusal if it recurs across so many prompts and this share of its responses answers at most.
 PROMPTS, ANSWERED = 3, 0.1
 
-# fixed values: frequent small words of the languages in Latin script, none of two of them,
-# and forms that tell them apart
-_SMALL = {
-    "en": frozenset("the of and to is that it was for on with as by this are be at from or which has had have but its his her they he she would before after while because only what how does without who than then there when you both near any even our into out over since until".split()),
-    "de": frozenset("der die das und ist nicht von zu den dem des ein eine einen mit auf für im auch als nach wie bei aus wird er sie diesem dieser hat aber noch nur oder um vor durch werden sind sich so dass mir ich war was kann darf".split()),
-    "fr": frozenset("le la les du et est une dans pour qui pas sur au aux avec ce cette il elle par plus ne se ses sans après ou mais leur je nous vous quel faut été fait depuis ait peux".split()),
-    "es": frozenset("el los las del y una para por con su al lo como más pero sin sobre esta ha fue tras entre desde qué si ya muy sus casi mi puedo debo".split()),
-}
-_FORMS = {
-    "en": re.compile(r"(?:ing|ed|ly|tion|ness|ight|ough|ook|awn|ways|er|th|sh)$|^(?:wh|th|kn)|[^aeiouy]y$"),
-    "de": re.compile(r"[äöß]|(?:ung|lich|keit|isch|ück|etzt|chte|tet|ührt)$|sch|ü"),
-    "fr": re.compile(r"[èêàâçîœ]|(?:eux|aient|tion|ez|ette|ait|oux)$|^(?:qu|l|d|s|n|c|j)['’]"),
-    "es": re.compile(r"[ñóíáú]|(?:ción|ado|ada|ando|iendo|aron|dad|os|as)$"),
-}
-# fixed values: how responses decline in several languages; for templates too rare to recur
-_DECLINE = re.compile(
-    r"(?i)\b(?:i(?: am|'m)? (?:can(?:no|')t|cannot|won't|will not|unable|not able|must decline|have to decline|choose not|would rather not|refuse)|(?:must|have to) (?:decline|pass)|not something i (?:do|can)|"
-    r"no (?:answer|solution) (?:will|can) be (?:given|provided)|outside (?:of )?what i (?:may|am)|my guidelines|not be appropriate for me|"
-    r"(?:leider|tut mir leid)\b.*\b(?:nicht|kein)|(?:ich|das) (?:kann|darf|muss) .*\b(?:nicht|ablehnen)|désolé|ne peux pas|lo siento|no puedo|debo rechazar|извините|не могу|我不能|抱歉|无法|申し訳|できません)"
-)
 _MASK = re.compile(r"(?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?|[-+]?\d+(?:[.,]\d+)*")
-_FEN = re.compile(r"(?:[pnbrqkPNBRQK1-8]{1,8}/){3,7}[pnbrqkPNBRQK1-8]{1,8}(?: [wb] \S+ \S+ \d+ \d+)?")
 _TOKEN = re.compile(r"\w+", re.UNICODE)
 _NOTHING = {"", "n/a", "na", "none", "nothing", "unknown", "no answer", "-", "null", "?"}
 _SENTENCE = re.compile(r"[^.!?。！？।؟\n]+[.!?。！？।؟]*")
-_SCRIPTS = (("ja", "぀", "ヿ"), ("ko", "가", "힣"), ("th", "฀", "๿"), ("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("el", "Ͱ", "Ͽ"), ("ru", "Ѐ", "ӿ"), ("he", "֐", "׿"), ("zh", "一", "鿿"))
+#: Templates up to so many are sent to the workers; more are joined.
+BROADCAST_TEMPLATES = 50_000
 
 
 def body_of(text: str) -> tuple[str, str | None]:
@@ -91,7 +73,8 @@ def is_copy(prompt: str | None, text: str) -> bool:
     p, r = _TOKEN.findall(prompt.casefold()), _TOKEN.findall(text.casefold())
     if len(p) < 5 or len(r) < 5:
         return "".join(p) == "".join(r) != "" or (len(p) < 5 and len("".join(r)) > 8 and "".join(p).startswith("".join(r)))
-    for lead in range(min(9, len(r) - 4)):
+    # an announcement has a few words, or a small part of a long response
+    for lead in range(min(max(8, len(r) // 5) + 1, len(r) - 4)):
         if r[lead : lead + 4] == p[:4]:
             rest = r[lead:]
             n = len(rest)
@@ -103,56 +86,10 @@ def is_copy(prompt: str | None, text: str) -> bool:
     return False
 
 
-_TAKEN = re.compile(r"[^\W\d_]+(?:['’](?=\w))?")
-_FOREIGN = re.compile(f"[{''.join(f'{a}-{b}' for _, a, b in _SCRIPTS)}]")
-_KNOWN: dict[str, tuple[int, ...]] = {}
-
-
-def _word_score(w: str) -> tuple[int, ...]:
-    """How a word tells for each language; kept in a table that is begun anew when full."""
-    got = _KNOWN.get(w)
-    if got is None:
-        if len(_KNOWN) >= 200_000:
-            _KNOWN.clear()
-        got = _KNOWN[w] = tuple(3 * (w in v) + bool(_FORMS[k].search(w)) for k, v in _SMALL.items())
-    return got
-
-
-def languages(text: str) -> Counter[str]:
-    """How much of the text tells for which language: letters by script; in Latin script
-    the letters of sentences by small words and word forms."""
-    votes: Counter[str] = Counter()
-    for m in _SENTENCE.finditer(_FEN.sub(" ", text)):
-        s = m.group()
-        if not s.isascii() and _FOREIGN.search(s):
-            letters = [c for c in s if c.isalpha()]
-            hit = ""
-            for code, a, b in _SCRIPTS:
-                n = sum(a <= c <= b for c in letters)
-                if n and (code == "ja" or n * 3 > len(letters)):
-                    hit = code
-                    votes[code] += len(letters) * (3 if code in ("ja", "zh", "ko") else 1)
-                    break
-            if hit:
-                continue
-        words = _TAKEN.findall(_MASK.sub(" ", s.casefold()))
-        score = [sum(x) for x in zip(*map(_word_score, words), strict=True)] or [0]
-        best = max(score)
-        if best > 1 and score.count(best) == 1:
-            votes[list(_SMALL)[score.index(best)]] += sum(map(len, words))
-    return votes
-
-
-def language(text: str) -> str | None:
-    """The language of most of the text; None if nothing tells."""
-    votes = languages(text)
-    return max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else None
-
-
 def openings(body: str) -> list[str]:
-    """The first sentences and their clauses, masked."""
+    """The sentences and their clauses, masked, each once."""
     out: dict[str, None] = {}
-    for m in list(_SENTENCE.finditer(body))[:3]:
+    for m in _SENTENCE.finditer(body):
         s = " ".join(_TOKEN.findall(_MASK.sub("0", m.group().casefold().replace("’", "'").replace("'", ""))))
         if len(s) < 4:
             continue
@@ -161,32 +98,43 @@ def openings(body: str) -> list[str]:
             c = " ".join(_TOKEN.findall(_MASK.sub("0", part)))
             if len(c.split()) >= 4 or (len(c) >= 6 and not c.isascii()):
                 out[c] = None
-    return list(out)[:12]
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, labels, answered, foreign, decline, keys, segs = [], [], [], [], [], [], []
-        for i, prompt, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            label, given, other, no, seg = "", False, False, False, []
-            if is_empty(text):
-                label = "empty"
-            elif is_copy(prompt, text):
-                label = "copy"
-            else:
-                body, answer = body_of(text)
-                given = answer is not None and answer.lower() not in _NOTHING
-                seg = openings(body)
-                no = not given and len(body) < 600 and _DECLINE.search(body) is not None
-                if prompt:
-                    a, c = language(prompt), language(body)
-                    other = bool(a and c and a != c)
-            for col, v in zip((ids, labels, answered, foreign, decline, keys, segs), (i, label, given, other, no, zlib.crc32((prompt or "").encode("utf-8", "surrogatepass")), seg), strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(answered, pa.bool_()), pa.array(foreign, pa.bool_()), pa.array(decline, pa.bool_()), pa.array(keys, pa.int64()), pa.array(segs, pa.list_(pa.string()))],
-            ["rec_id", "label", "answered", "foreign", "decline", "prompt_key", "openings"],
-        )
+    return list(out)
+
+
+ROWS_SCHEMA = "rec_id long, label string, answered boolean, foreign boolean, prompt_key long, openings array<string>"
+
+
+def _rows(told: Callable[[], Profiles]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        language = told().language
+        asked: dict[str, str | None] = {}
+        for b in batches:
+            ids, labels, answered, foreign, keys, segs = [], [], [], [], [], []
+            for i, prompt, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                label, given, other, seg = "", False, False, []
+                if is_empty(text):
+                    label = "empty"
+                elif is_copy(prompt, text):
+                    label = "copy"
+                else:
+                    body, answer = body_of(text)
+                    given = answer is not None and answer.lower() not in _NOTHING
+                    seg = openings(body)
+                    if prompt and body.strip():
+                        if prompt not in asked:
+                            if len(asked) >= 10_000:
+                                asked.clear()
+                            asked[prompt] = language(prompt)
+                        a, c = asked[prompt], language(body)
+                        other = bool(a and c and a != c)
+                for col, v in zip((ids, labels, answered, foreign, keys, segs), (i, label, given, other, zlib.crc32((prompt or "").encode("utf-8", "surrogatepass")), seg), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(answered, pa.bool_()), pa.array(foreign, pa.bool_()), pa.array(keys, pa.int64()), pa.array(segs, pa.list_(pa.string()))],
+                ["rec_id", "label", "answered", "foreign", "prompt_key", "openings"],
+            )
+
+    return run
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +165,17 @@ def _verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """id, cluster: the least cluster that the links lead to."""
+    """id, cluster: the least cluster that the links lead to. Each round takes the least
+    cluster of the neighbours and then jumps to the cluster of that cluster's own opening,
+    so a chain of n links takes about log n rounds."""
     while True:
         least = links.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("cluster").alias("least"))
-        new = labels.join(least, "id", "left").select("id", F.least("cluster", "least").alias("cluster"), (F.col("least") < F.col("cluster")).alias("moved"))
-        new = materialise(new, "opening-labels")
+        new = labels.join(least, "id", "left").select("id", "cluster", F.least("cluster", "least").alias("near"))
+        jump = new.select(F.col("id").alias("near"), F.col("near").alias("far"))
+        new = materialise(new.join(jump, "near").select("id", F.least("near", "far").alias("cluster"), (F.least("near", "far") < F.col("cluster")).alias("moved")), "opening-labels")
+        release(labels)
         labels = new.select("id", "cluster")
+        labels._scratch = new._scratch
         if new.where("moved").isEmpty():
             return labels
 
@@ -278,15 +231,28 @@ def refusal_templates(rows: DataFrame) -> DataFrame:
     return members.join(wide.select("cluster"), "cluster", "left_semi").select("opening")
 
 
-def defects(lines: DataFrame) -> DataFrame:
-    """rec_id, defect of every defective pair."""
+_PLAIN: list[Profiles] = []
+
+
+def language(text: str) -> str | None:
+    """The language of most of a text by the plain profiles; None if nothing tells."""
+    if not _PLAIN:
+        _PLAIN.append(plain_profiles())
+    return _PLAIN[0].language(text)
+
+
+def defects(lines: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """rec_id, defect of every defective pair. labelled: doc_id, text, lang of a corpus that
+    teaches the languages; without it only a few small words of four languages tell them."""
+    shipped = lines.sparkSession.sparkContext.broadcast(learn(labelled) if labelled is not None else plain_profiles())
     rows = lines.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("inference.prompt").alias("prompt"), F.col("inference.response").alias("response"))
-    rows = materialise(rows.mapInArrow(_rows, "rec_id long, label string, answered boolean, foreign boolean, decline boolean, prompt_key long, openings array<string>"), "pairs")
-    cut = cut_values(materialise(inspected(lines), "endings")).where("field = 'response'").select("rec_id").withColumn("cut", F.lit(True))
-    templates = refusal_templates(rows.join(cut, "rec_id", "left_anti"))
+    rows = materialise(rows.mapInArrow(_rows(lambda: shipped.value), ROWS_SCHEMA), "pairs")
+    cut = cut_values(materialise(inspected(lines, ("response",)), "endings")).select("rec_id").withColumn("cut", F.lit(True))
+    templates = materialise(refusal_templates(rows.join(cut, "rec_id", "left_anti")), "templates")
+    if templates.count() <= BROADCAST_TEMPLATES:
+        templates = F.broadcast(templates)
     open_rows = rows.where("label = '' and not answered")
-    refused = open_rows.select("rec_id", F.explode("openings").alias("opening")).join(templates, "opening", "left_semi").select("rec_id").distinct()
-    refused = refused.unionByName(open_rows.where("decline").select("rec_id")).distinct().withColumn("refused", F.lit(True))
+    refused = open_rows.select("rec_id", F.explode("openings").alias("opening")).join(templates, "opening", "left_semi").select("rec_id").distinct().withColumn("refused", F.lit(True))
     label = (
         F.when(F.col("label") != "", F.col("label"))
         .when(F.col("refused") & F.col("cut").isNull(), F.lit("refusal"))

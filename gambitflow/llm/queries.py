@@ -12,7 +12,7 @@ from gambitflow.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(table(spark, d, "openai_gpt_5"))
+    return pairs.defects(table(spark, d, "openai_gpt_5"), table(spark, d, "documents"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from gambitflow.llm import endings, leaks, pairs, sentences, tokens
+from gambitflow.llm import endings, languages, leaks, pairs, sentences, tokens
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 has_vocabulary = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary files")
@@ -301,7 +301,8 @@ def test_automaton_blocks(spark, monkeypatch):
 @pytest.mark.parametrize(("text", "want"), [
     ("White wins a paw", "cut"), ("White wins.", "complete"), ("He wrote: “Wait. Then strike.”", "complete"), ("He wrote: “Wait.", "cut"), ("So it ended\nFINAL ANSWER: e2e4, a1", "cut"), ("x.\nFINAL ANSWER: e2e4", "complete"),
     ("x.\n**FINAL ANSWER: White King at e1**", "complete"), ("x.\n```\nFINAL ANSWER: a1\n```", "complete"), ("x.\nFINAL AN", "cut"), ("The end is...", "cut"), ("The end. �", "cut"), ("See Fig.", "cut"), ("Play until 11 p.m.", "weak"), ("queens, rooks, etc.", "complete"),
-    ("After 24.", "cut"), ("White resigned on move 50.", "complete"), ("", ""), (None, ""), ("...", ""), ("**", ""), ("- one.\n- two.", "complete"), ("The final answer is $\\boxed{e4}$", "complete"), ("The final answer is $\\boxed{e", "cut"), ("FINAL ANSWER:", ""), ("Done.\nFINAL ANSWER:", "cut"), ("他写道：“等。", "cut"), ("残局决定胜负。", "complete"), ("残局决定胜", "cut"),
+    ("After 24.", "weak"), ("Il pense à.", "weak"), ("White moves é.", "weak"), ("The best plan is plan b.", "weak"), ("Der Zug kam um 5.", "weak"), ("He won 24.", "weak"), ("It was 1924.", "complete"), ("x.\nFINAL ANSWER: c3>b8, e7>d5 once it is checked.", "complete"),
+    ("White resigned on move 50.", "weak"), ("", ""), (None, ""), ("...", ""), ("**", ""), ("- one.\n- two.", "complete"), ("The final answer is $\\boxed{e4}$", "complete"), ("The final answer is $\\boxed{e", "cut"), ("FINAL ANSWER:", ""), ("Done.\nFINAL ANSWER:", "cut"), ("他写道：“等。", "cut"), ("残局决定胜负。", "complete"), ("残局决定胜", "cut"),
 ])
 def test_verdicts(text, want):
     assert endings.verdict(text) == want
@@ -406,6 +407,57 @@ def test_clusters_are_the_components_of_all_similar_pairs(spark, monkeypatch):
     assert len(want) > 1
 
 
+def test_limits_decide_weak_endings(spark):
+    """Every text ends with its stop; only those that pile up at the limit are cut."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(200):
+        size = rng.randint(70, 160)
+        body = ("White waits near the rook and plays on for hours. " * 4)[: size - 6].rstrip()
+        rows.append(("free", None, f"{body} on {rng.randint(10, 30)}.", None))
+    for n in range(40):
+        text = ("White waits near the rook and plays on. " * 4)[:117] + (" b." if n % 2 else "...")  # 120 characters
+        rows.append(("capped", None, text, None))
+        rows.append(("capped", None, "White waits, and all is said." * rng.randint(1, 3), None))
+    rows.append(("capped", None, ("White waits near the rook and plays on. " * 4)[:116] + " b.", None))  # a space was dropped
+    rows.append(("capped", None, "日" + ("White waits near the rook and plays on. " * 4)[:112] + " b.", None))  # 118 bytes: two of a character were dropped
+    rows += [("capped", None, "Then comes plan b." + " It is a good one." * k + " So is plan c.", None) for k in range(3)]  # weak, far below the limit
+    cut = {r.rec_id for r in endings.cut_values(endings.inspected(lines(spark, rows))).collect()}
+    assert cut == {n for n, (k, _, t, _) in enumerate(rows) if k == "capped" and 116 <= len(t) <= 120 and (t.endswith(" b.") or t.endswith("..."))}
+
+
+def test_long_refusals_and_unanswered_sound_texts(spark):
+    """A refusal behind a long preamble, in words that no list knows."""
+    rng = random.Random(2)
+    openers = [f"The {a} holds the {b} on the long file while the clock runs on." for a in ("rook", "bishop", "knight", "queen") for b in ("pawn", "king", "tower", "square", "line")]
+    rows, want = [], {}
+    for n in range(60):
+        p = PROMPT.format(n=n)
+        long = " ".join(rng.choice(openers) for _ in range(14))
+        rows.append(("r", p, f"{long}\nFINAL ANSWER: a1b2", None))
+        rows.append(("r", p, long, None))
+        if n % 5 == 0:
+            want[len(rows)] = "refusal"
+            rows.append(("r", p, f"{long} The committee leaves board {n} to the referee on duty tonight.", None))
+    got = {r.rec_id: r.defect for r in pairs.defects(lines(spark, rows)).collect()}
+    assert got == want
+
+
+def test_learnt_languages(spark):
+    texts = {"xa": "mor tel vanu drisk olan pelu", "xb": "quin sarv moltu ebri kesti rauf", "zz": "白方继续对c2格施加压力"}
+    rng = random.Random(1)
+    rows = [(n, " ".join(rng.choice(t.split()) for _ in range(9)) + ".", code if n % 20 else "XB-x-part") for n, (code, t) in enumerate([*texts.items()] * 40)]
+    p = languages.learn(spark.createDataFrame([*rows, (None, None, None), (9999, "only one text", "yy"), (9998, " ", "xa")], "doc_id long, text string, lang string"))
+    assert p.names == ["xa", "xb"]
+    assert [p.language(t) for t in ("Mor vanu e4 olan.", "Sarv 12. Nf3 kesti.", "白方", "", "mor vanu")] == ["xa", "xb", "zh", None, "xa"]
+    assert p.language(" ".join(f"unseen{'abcdefghijklmnopqrst'[k]}" for k in range(20))) == "und"
+    prompts = ["Mor tel vanu drisk olan pelu mor tel, vanu drisk."] * 3
+    rows = [("r", prompts[0], "Vanu drisk mor olan.\nFINAL ANSWER: a1", None), ("r", prompts[1], "Quin sarv moltu ebri kesti.\nFINAL ANSWER: a1", None), ("r", prompts[2], "FINAL ANSWER: a1", None)]
+    labelled = spark.createDataFrame([(n, " ".join(rng.choice(t.split()) for _ in range(9)), c) for n, (c, t) in enumerate([*texts.items()] * 40)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in pairs.defects(lines(spark, rows), labelled).collect()] == [(1, "other_language")]
+    assert languages.learn(labelled.limit(0)).names == ["en", "de", "fr", "es"]
+
+
 def test_languages():
     assert pairs.language("The rook belongs on e4, where it blocks the pawn.") == "en"
     assert pairs.language("Der Turm gehört nach e4, wo er beide Flügel beherrscht.") == "de"

@@ -9,8 +9,13 @@ a b -> c (number k)
   * takes the arc b from state a (a a stays possible only behind c = aa).
 Gadgets are kept as tables (left, right, number), so an arc is decided by following the
 gadgets that made it, and every arc that was decided once is a table entry from then on.
-A word of the pre-splitter is encoded by the one path through the automaton that spells
-its bytes; decoding emits the labels of the arcs of a path.
+The bytes of the labels are compiled into one transition table (node, byte -> node). A word
+of the pre-splitter is encoded in one forward pass over its bytes: every prefix of a word
+has exactly one path through the automaton, so each byte position gets its state - the last
+label up to there - from the transitions out of the positions before it, without going
+back. Decoding emits the labels of the arcs of a path.
+
+The tables are compiled once on the driver and sent to the workers.
 
 Defined results: null and empty texts give an empty list; strings of special tokens are
 ordinary text.
@@ -33,6 +38,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 TOKENIZERS = "/opt/tokenizers"
 #: Words kept in a worker's table; when full, the table is begun anew (results don't change).
 TABLE_WORDS = 200_000
+#: Likewise arcs that were decided.
+TABLE_ARCS = 500_000
 
 
 class MergeAutomaton:
@@ -47,16 +54,20 @@ class MergeAutomaton:
         self.made = [-1] * n
         self.rule: dict[tuple[int, int], int] = {}
         self.arcs: dict[int, bool] = {}
-        self.widest = max(map(len, ranked), default=0)
         for i, label in enumerate(ranked):
             if len(label) > 1:
                 self._gadget(i, label)
-        #: first bytes -> lengths of labels that begin so, longest first
-        starts: dict[bytes, set[int]] = {}
-        for b in ranked:
-            if len(b) > 1:
-                starts.setdefault(b[:2], {1}).add(len(b))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in starts.items()}
+        #: node << 8 | byte -> node, and the label that ends at a node
+        self.step: dict[int, int] = {}
+        self.ends = [-1]
+        for i, label in enumerate(ranked):
+            if len(label) == 1 or self.made[i] >= 0:
+                node = 0
+                for c in label:
+                    node = self.step.setdefault(node << 8 | c, len(self.ends))
+                    if node == len(self.ends):
+                        self.ends.append(-1)
+                self.ends[node] = i
 
     def _gadget(self, c: int, label: bytes) -> None:
         # the rule that makes `label` joins the two tokens that spell it before rule c
@@ -100,42 +111,29 @@ class MergeAutomaton:
         key = s << 20 | t
         known = self.arcs.get(key)
         if known is None:
-            if len(self.arcs) > 4_000_000:
+            if len(self.arcs) > TABLE_ARCS:
                 self.arcs.clear()
             known = self.arcs[key] = self._has_arc(s, t, len(self.labels))
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        """Ids of a word: the path that spells it. Each prefix of a word has one path, so a
-        position that led nowhere once leads nowhere again."""
-        whole = self.ids.get(word)
-        if whole is not None and (self.made[whole] >= 0 or len(word) == 1):
-            return [whole]
-        n, ids, lengths = len(word), self.ids, self.lengths
-        dead = set()
-        path: list[int] = []
-        ends: list[int] = []
-        tries: list[Iterator[int]] = [iter(lengths.get(word[:2], (1,)))]
-        while True:
-            at = ends[-1] if ends else 0
-            for size in tries[-1]:
-                end = at + size
-                if end > n or end in dead:
-                    continue
-                t = ids.get(word[at:end])
-                if t is None or (size > 1 and self.made[t] < 0) or (path and not self.arc(path[-1], t)):
-                    continue
-                path.append(t)
-                ends.append(end)
-                if end == n:
-                    return path
-                tries.append(iter(lengths.get(word[end : end + 2], (1,))))
-                break
-            else:
-                dead.add(at)
-                tries.pop()
-                path.pop()
-                ends.pop()
+        """Ids of a word: the labels of the one path that spells it."""
+        n, step, ends, arc = len(word), self.step, self.ends, self.arc
+        state, begun = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            s, node = state[i], 0
+            for j in range(i, n):
+                node = step.get(node << 8 | word[j], 0)
+                if not node:
+                    break
+                t = ends[node]
+                if t >= 0 and state[j + 1] < 0 and (i == 0 or arc(s, t)):
+                    state[j + 1], begun[j + 1] = t, i
+        path = []
+        while n:
+            path.append(state[n])
+            n = begun[n]
+        return path[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(self.labels[i] for i in ids)
@@ -148,19 +146,10 @@ def load(path: str | Path) -> MergeAutomaton:
     return MergeAutomaton([b for _, b in ranks])
 
 
-_KEPT: dict[str, tuple] = {}
-
-
-def _machine(path: str) -> tuple[MergeAutomaton, dict]:
-    """Compiled once in a worker process."""
-    if path not in _KEPT:
-        _KEPT[path] = (load(path), {})
-    return _KEPT[path]
-
-
-def _encode_batches(path: str, split: str):
+def _encode_batches(shipped, split: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, table = _machine(path)
+        machine: MergeAutomaton = shipped.value
+        table: dict[str, list[int]] = {}
         find = regex.compile(split).findall
         for b in batches:
             ids: list[int] = []
@@ -185,18 +174,20 @@ def _encode_batches(path: str, split: str):
 def encode_corpus(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken", normal_form: str | None = None) -> DataFrame:
     """doc_id, ids of every document; one pass without a shuffle. normal_form: a Unicode
     form to bring texts into first (none for this vocabulary)."""
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if normal_form:
         form = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else unicodedata.normalize(normal_form, t)), "string")
         texts = texts.withColumn("text", form("text"))
-    return texts.mapInArrow(_encode_batches(f"{tokenizers}/{vocabulary}", PATTERN), "doc_id long, ids array<int>")
+    shipped = documents.sparkSession.sparkContext.broadcast(load(f"{tokenizers}/{vocabulary}"))
+    return texts.mapInArrow(_encode_batches(shipped, PATTERN), "doc_id long, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """doc_id, text from the labels of the arcs."""
+    shipped = encoded.sparkSession.sparkContext.broadcast(load(f"{tokenizers}/{vocabulary}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, _ = _machine(f"{tokenizers}/{vocabulary}")
+        machine = shipped.value
         for b in batches:
             texts = [machine.decode(x or []).decode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

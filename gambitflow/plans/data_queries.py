@@ -23,9 +23,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_consistent_table(spark: SparkSession, d: str) -> DataFrame:
-    """The drifting result and stats lines as one table: typed columns, all other fields in a map."""
-    types = {"accuracy": "double", "total": "long", "time": "double", "usage.total_tokens": "long", "error_type_stats.format_error": "long", "task_type": "string", "inference.thinking_source": "string", "inference.latency_ms": "long", "inference.is_correct": "boolean", "format_examples": "array<string>"}
-    return drift.consistent_table(table(spark, d, "raw_files"), types)
+    """The drifting result and stats lines as one table, a typed column for every field."""
+    return drift.consistent_table(table(spark, d, "raw_files"))
+
+
+def p4_fields(spark: SparkSession, d: str) -> DataFrame:
+    """In which files of a stream a path stands for which field."""
+    return drift.field_runs(table(spark, d, "raw_files")).select("stream", "path", "first_file", "last_file", "field")
 
 
 _INSTANT = """epoch_us(try_cast(CASE WHEN regexp_matches(trim(created_at), '(Z|[+-][0-9]{2}:?[0-9]{2})$')
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_consistent_table": p4_consistent_table,
+    "p4_fields": p4_fields,
 }
 
 SQL: dict[str, str] = {

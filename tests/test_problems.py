@@ -122,4 +122,24 @@ def test_consistent_table_loses_no_field(spark):
     got = {(r.file_no, r.record_key): r for r in drift.consistent_table(_files(spark, rows), {"b": "long"}).collect()}
     assert all(got[f, f"k{k}"].b == k and got[f, f"k{k}"].other_fields == {"y": [f"v{k}"], "m.n": [f"[{k}]"], "m.o": [None]} for f in (1, 2) for k in range(4))
     assert got[2, "bad"].other_fields == {"b": ["bad"], "y": ["v"]} and list(got[2, "bad"].cast_failures) == ["b"]
-    assert got[3, "two"].b == 9 and sorted(got[3, "two"].other_fields["b"]) == ["8", "9"]
+    assert got[3, "two"].b == 9 and got[3, "two"].other_fields == {"a": ["8"]}  # another field under the old name
+
+
+def test_consistent_table_tells_reused_names_apart(spark):
+    rows = []
+    for k in range(5):
+        rows += [("s", 1, f"k{k}", {"a": k, "c": f"x{k}"}), ("s", 2, f"k{k}", {"b": k, "c": f"x{k}"}), ("s", 3, f"k{k}", {"b": k, "c": f"x{k}", "d.e": 1})]
+        rows += [("s", 4, f"k{k}", {"a": 900 + k, "b": k, "d": {"f": True}, "d_f": 1.5}), ("s", 5, f"k{k}", {"a": 900 + k, "d": {"f": "no"}})]
+    for shipped in (drift.SHIPPED, 0):
+        table = drift.consistent_table(_files(spark, rows), shipped=shipped)
+        got = {(r.file_no, r.record_key): r.asDict() for r in table.collect()}
+        assert dict(table.dtypes)["a"] == "bigint" and dict(table.dtypes)["b"] == "bigint" and dict(table.dtypes)["d_f_2"] in ("double", "boolean")
+        for k in range(5):
+            assert [got[f, f"k{k}"]["b"] for f in (1, 2, 3, 4, 5)] == [k, k, k, k, None]
+            assert [got[f, f"k{k}"]["a"] for f in (1, 2, 3, 4, 5)] == [None, None, None, 900 + k, 900 + k]
+        assert sorted(map(tuple, drift.changes(_files(spark, rows), shipped).collect())) == sorted(map(tuple, drift.changes(_files(spark, rows)).collect()))
+    # a field renamed into a name that another one had before it
+    rows = [("t", f, f"k{k}", {**({"a": k} if f < 3 else {}), **({"b": 70 - k} if f == 1 else {}), **({"b": k} if f == 3 else {})}) for f in (1, 2, 3) for k in range(4)]
+    got = {(r.file_no, r.record_key): r for r in drift.consistent_table(_files(spark, rows)).collect()}
+    assert all([got[f, f"k{k}"].b for f in (1, 2, 3)] == [k, k, k] and got[1, f"k{k}"]["b@1"] == 70 - k for k in range(4))
+    assert drift.consistent_table(_files(spark, rows).limit(0)).count() == 0

@@ -51,6 +51,43 @@ def test_ledger_rewrites_only_touched_partitions(spark, tmp_path):
     assert sorted(r.row_id for r in ledger.winners().collect()) == [1, 3, 4, 5]
 
 
+def test_ledger_index_and_writers(spark, tmp_path):
+    ledger = deliveries.Ledger(spark, f"{tmp_path}/ledger", buckets=4)
+    many = [(f"m{n}", n, n, n % 7) for n in range(200)] + [(None, 900, 1, 2), (None, 901, 1, 2)]
+    ledger.deliver(spark.createDataFrame(many, ledger.SCHEMA))
+    _, state = ledger._state()
+    assert 1 < len(state["index"]) <= 4
+    # the index alone names the partitions of a delivery, and reads only the buckets of its keys
+    some = spark.createDataFrame([("m3", 500, 0, 8), ("new", 501, 0, 8), (None, 902, 1, 9)], ledger.SCHEMA)
+    assert ledger.affected(some, state["index"]) == {"3"}
+    assert ledger.deliver(some) == ["3", "8", "9"]
+    got = {r.row_id for r in ledger.winners().collect()}
+    assert got == {n for n in range(200) if n != 3} | {500, 501, 900, 901, 902}
+    # the winner moved: the message is found in its new partition
+    assert "8" in ledger.affected(spark.createDataFrame([("m3", 1, 1, 1)], ledger.SCHEMA), ledger._state()[1]["index"])
+    # another writer commits between: the commit fails, the delivery starts again and loses nothing
+    seen, state = ledger._state()
+    ledger.deliver(spark.createDataFrame([("late", 700, 0, 1)], ledger.SCHEMA))
+    with pytest.raises(deliveries.StaleLedger):
+        ledger._commit(seen, state)
+    other, once = deliveries.Ledger(spark, f"{tmp_path}/ledger", buckets=4), []
+    real = ledger._commit
+
+    def late(seen, state):
+        if not once:
+            once.append(1)
+            other.deliver(spark.createDataFrame([("between", 701, 0, 1)], ledger.SCHEMA))
+        real(seen, state)
+
+    ledger._commit = late
+    ledger.deliver(spark.createDataFrame([("after", 702, 0, 1)], ledger.SCHEMA))
+    got |= {700, 701, 702}
+    assert {r.row_id for r in ledger.winners().collect()} == got
+    assert ledger.vacuum() and {r.row_id for r in ledger.winners().collect()} == got and not ledger.vacuum()
+    ledger.deliver(spark.createDataFrame([], ledger.SCHEMA))
+    assert {r.row_id for r in ledger.winners().collect()} == got
+
+
 def test_nested_intervals_and_shapes(spark):
     payloads = [
         json.dumps({"format_examples": ["x", None, "y"], "metadata": '{"puzzle_id": "p"}', "inference": {"extracted": [{"item": "i", "squares": ["a1", None, "b2"]}, "t"], "attempts": {"outcome": "ok", "chunks": {"kind": "k"}}}}),
@@ -71,6 +108,19 @@ def test_nested_intervals_and_shapes(spark):
     assert nested.flat_nodes(df.limit(0)).count() == 0
 
 
+def test_many_siblings_and_containment():
+    record = {"inference": {"extracted": [{"item": i, "squares": [f"a{i}", f"b{i}"]} for i in range(3000)], "attempts": [{"outcome": "x", "chunks": [{"kind": "k"}] * 3}] * 500}}
+    nodes = nested.label(record)
+    parents = nested.contained(nodes)
+    got = [(n[1], p) for n, p in zip(nodes, parents, strict=True) if n[1] in ("square", "chunk")]
+    assert got == [("square", i) for i in range(1, 3001) for _ in range(2)] + [("chunk", i) for i in range(1, 501) for _ in range(3)]
+    few = nodes[:200]  # against the containment of all pairs
+    for k, (_, node, _, pre, _, _) in enumerate(few):
+        up = nested.PARENTS.get(node)
+        holders = [m for m in few if m[1] == up and m[3] < pre <= m[4]]
+        assert parents[k] == (holders[-1][2] if up and holders else 0)
+
+
 def test_nested_depth_is_no_limit():
     deep: dict = {}
     for _ in range(5000):

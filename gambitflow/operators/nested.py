@@ -106,23 +106,53 @@ def node_table(nodes: DataFrame, node: str) -> DataFrame:
 PARENTS = {"square": "extracted", "chunk": "attempt"}
 
 
-def linked_nodes(nodes: DataFrame) -> DataFrame:
-    """raw_id, node, parent_no, node_no, val of the nodes of all tables.
-
-    The parent is found by interval containment among the nodes of the same record: all
-    labels of a record are in one row, so no join and no shuffle is needed.
-    """
-    def holder(up: str):
-        inside = F.filter("parents", lambda p: (p["node"] == up) & (p["pre"] < F.col("n.pre")) & (F.col("n.pre") <= p["post"]))
-        return F.element_at(F.transform(inside, lambda p: p["node_no"]), -1)
-
-    parent = F.coalesce(*[F.when(F.col("n.node") == child, holder(up)) for child, up in PARENTS.items()], F.lit(0).cast("long"))
-    return (
-        nodes.select("raw_id", F.filter("nodes", lambda n: n["node"].isin(*PARENTS.values())).alias("parents"), F.explode(F.filter("nodes", lambda n: n["node"] != "")).alias("n"))
-        .select("raw_id", F.col("n.node").alias("node"), parent.alias("parent_no"), F.col("n.node_no").alias("node_no"), F.col("n.val").alias("val"))
-    )
-
-
-def flat_nodes(records: DataFrame) -> DataFrame:
-    """One row per node of every record of raw_records."""
-    return linked_nodes(labelled(records))
+def contained(nodes: list[tuple]) -> list[int]:
+    """parent_no of each labelled node, in pre-order: the node_no of the innermost node of its
+    parent type whose interval holds it, else 0. One sweep over the intervals, however many
+    nodes a record has."""
+    out: list[int] = []
+    open_: dict[str, list[tuple[int, int]]] = {up: [] for up in PARENTS.values()}
+    for _, node, no, pre, post, _ in nodes:
+        up = PARENTS.get(node)
+        parent = 0
+        if up:
+            held = open_[up]
+            while held and held[-1][0] < pre:
+                held.pop()  # its interval ends before this node
+            parent = held[-1][1] if held else 0
+        out.append(parent)
+        if node in open_:
+            held = open_[node]
+            while held and held[-1][0] < pre:
+                held.pop()
+            held.append((post, no))
+    return out
+
+
+def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols: list[list] = [[] for _ in range(5)]
+        ids, nos, parents, kinds, vals = cols
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            try:
+                record = json.loads(text) if text is not None else None
+            except (ValueError, RecursionError):
+                continue
+            if isinstance(record, dict):
+                nodes = label(record)
+                for (_, kind, no, _, _, val), parent in zip(nodes, contained(nodes), strict=True):
+                    if kind:
+                        ids.append(i)
+                        kinds.append(kind)
+                        parents.append(parent)
+                        nos.append(no)
+                        vals.append(val)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(parents, pa.int64()), pa.array(nos, pa.int64()), pa.array(vals, pa.string())], ["raw_id", "node", "parent_no", "node_no", "val"]
+        )
+
+
+def flat_nodes(records: DataFrame, id_col: str = "raw_id", payload: str = "payload") -> DataFrame:
+    """raw_id, node, parent_no, node_no, val: one row per node of every record. All labels of
+    a record are at hand where it is read, so the containment needs no join and no shuffle."""
+    return records.select(F.col(id_col).cast("long").alias("raw_id"), F.col(payload).alias("payload")).mapInArrow(_node_batches, "raw_id long, node string, parent_no long, node_no long, val string")

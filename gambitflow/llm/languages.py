@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 SCRIPTS = (("ja", "぀", "ヿ"), ("ko", "가", "힣"), ("th", "฀", "๿"), ("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("el", "Ͱ", "Ͽ"), ("ru", "Ѐ", "ӿ"), ("he", "֐", "׿"), ("zh", "一", "鿿"))
 _FOREIGN = re.compile(f"[{''.join(f'{a}-{b}' for _, a, b in SCRIPTS)}]")
 _SENTENCE = re.compile(r"[^.!?。！？।؟\n]+[.!?。！？।؟]*")
-_TAKEN = re.compile(r"[^\W\d_]+(?:['’](?=\w))?")
-_MASK = re.compile(r"(?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?|[-+]?\d+(?:[.,]\d+)*")
+_TAKEN = re.compile(r"[^\W\d_]{2,}(?:['’](?=\w))?|[^\W\d_]['’](?=\w)")
+#: Moves, squares and numbers in small letters.
+MASK = re.compile(r"(?<![a-z])(?:[a-z]{0,4}\d[a-z0-9]*(?:=[qrbn])?[+#]?(?:[.,]\d+)*|o-o(?:-o)?)")
 _FEN = re.compile(r"(?:[pnbrqkPNBRQK1-8]{1,8}/){3,7}[pnbrqkPNBRQK1-8]{1,8}(?: [wb] \S+ \S+ \d+ \d+)?")
 #: A sentence votes if its best language leads by so much; a text is in an unknown language
 #: if so many words are seen and at most this share is known, or no sentence votes.
@@ -52,22 +53,22 @@ class Profiles:
     def __reduce__(self):
         return Profiles, (self.names, self.words, self.endings)
 
-    def weight(self, w: str) -> tuple | None:
-        """Weights of a word; None if neither it nor its ending is known."""
-        got = self._kept.get(w, 0)
-        if got == 0:
-            if len(self._kept) >= 200_000:  # a table that is begun anew when full
-                self._kept.clear()
-            got = self.words.get(w) or (self.endings.get(w[-3:]) if len(w) > 3 else None)
-            self._kept[w] = got
-        return got
+    def _learn(self, fresh: set[str]) -> None:
+        """Enter the weights of further words; empty if neither a word nor its ending is known."""
+        kept = self._kept
+        if len(kept) >= 200_000:  # a table that is begun anew when full
+            kept.clear()
+        for w in fresh:
+            kept[w] = self.words.get(w) or (self.endings.get(w[-3:]) if len(w) > 3 else None) or ()
 
     def votes(self, text: str) -> Counter[str]:
         """How many letters of the text tell for which language."""
         votes: Counter[str] = Counter()
         seen = known = 0
-        for m in _SENTENCE.finditer(_FEN.sub(" ", text)):
-            s = m.group()
+        if "/" in text:
+            text = _FEN.sub(" ", text)
+        known_words, kept = self.words.keys(), self._kept
+        for s in _SENTENCE.findall(MASK.sub("0", text.casefold())):
             if not s.isascii() and _FOREIGN.search(s):
                 letters = [c for c in s if c.isalpha()]
                 for code, a, b in SCRIPTS:
@@ -79,12 +80,15 @@ class Profiles:
                     n = 0
                 if n:
                     continue
-            words = [w for w in _TAKEN.findall(_MASK.sub(" ", s.casefold())) if len(w) > 1]
-            got = [x for x in map(self.weight, words) if x]
-            seen += len(words)
-            known += sum(w in self.words for w in words)
+            words = _TAKEN.findall(s)
+            distinct = set(words)
+            if not distinct <= kept.keys():
+                self._learn(distinct)
+            got = [x for x in map(kept.__getitem__, words) if x]
+            seen += len(distinct)
+            known += len(known_words & distinct)
             if got:
-                score = [sum(x) for x in zip(*got, strict=True)]
+                score = list(map(sum, zip(*got, strict=True)))
                 best, second = sorted(score, reverse=True)[:2] if len(score) > 1 else (score[0], 0.0)
                 if best >= MARGIN and best - second >= MARGIN:
                     votes[self.names[score.index(best)]] += sum(map(len, words))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambitflow.llm.endings import _ANSWER, answer_of, cut_values, inspected
-from gambitflow.llm.languages import Profiles, learn, plain_profiles
+from gambitflow.llm.languages import MASK, Profiles, learn, plain_profiles
 from gambitflow.session import materialise, release
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -34,7 +34,6 @@ BLOCK = 1000
 #: A template is a refusal if it recurs across so many prompts and this share of its responses answers at most.
 PROMPTS, ANSWERED = 3, 0.1
 
-_MASK = re.compile(r"(?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?|[-+]?\d+(?:[.,]\d+)*")
 _TOKEN = re.compile(r"\w+", re.UNICODE)
 _NOTHING = {"", "n/a", "na", "none", "nothing", "unknown", "no answer", "-", "null", "?"}
 _SENTENCE = re.compile(r"[^.!?。！？।؟\n]+[.!?。！？।؟]*")
@@ -86,18 +85,23 @@ def is_copy(prompt: str | None, text: str) -> bool:
     return False
 
 
+_CLAUSES = re.compile(r"[,;:，、；：]| but | so ")
+
+
 def openings(body: str) -> list[str]:
     """The sentences and their clauses, masked, each once."""
     out: dict[str, None] = {}
-    for m in _SENTENCE.finditer(body):
-        s = " ".join(_TOKEN.findall(_MASK.sub("0", m.group().casefold().replace("’", "'").replace("'", ""))))
+    words = _TOKEN.findall
+    for sentence in _SENTENCE.findall(MASK.sub("0", body.casefold().replace("’", "").replace("'", ""))):
+        s = " ".join(words(sentence))
         if len(s) < 4:
             continue
         out[s] = None
-        for part in re.split(r"[,;:，、；：]| but | so ", m.group().casefold().replace("'", "")):
-            c = " ".join(_TOKEN.findall(_MASK.sub("0", part)))
-            if len(c.split()) >= 4 or (len(c) >= 6 and not c.isascii()):
-                out[c] = None
+        parts = _CLAUSES.split(sentence)
+        for part in parts if len(parts) > 1 else ():
+            c = words(part)
+            if len(c) >= 4 or (len(part) >= 6 and not part.isascii()):
+                out[" ".join(c)] = None
     return list(out)
 
 
@@ -137,6 +141,10 @@ def _rows(told: Callable[[], Profiles]):
     return run
 
 
+#: Sets of fewer shingles are similar enough to equal sets only.
+FEW = 4
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(17)
     a = rng.integers(1, 2**61 - 1, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -147,10 +155,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in texts:
             ws = t.split()
             sh = sorted({zlib.crc32(" ".join(ws[k : k + SHINGLE]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(ws) - SHINGLE + 1))})
-            h = np.array(sh, dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                low = ((h[:, None] * a[None, :] + c[None, :]) >> np.uint64(16)).min(axis=0)
-            bands.append([zlib.crc32(low[k * ROWS : (k + 1) * ROWS].tobytes()) + (k << 32) for k in range(BANDS)])
+            if len(sh) < FEW:
+                bands.append([])
+            else:
+                h = np.array(sh, dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    low = ((h[:, None] * a[None, :] + c[None, :]) >> np.uint64(16)).min(axis=0)
+                bands.append([zlib.crc32(low[k * ROWS : (k + 1) * ROWS].tobytes()) + (k << 32) for k in range(BANDS)])
             shingles.append(sh)
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int64()))], ["opening", "bands", "shingles"])
 
@@ -199,36 +210,37 @@ def _across(slots: DataFrame, labels: DataFrame) -> DataFrame:
 def clusters(texts: DataFrame) -> DataFrame:
     """opening, cluster: distinct openings by verified similarity of their word shingles.
 
-    The clusters are the connected components of all similar pairs that share a band bucket.
-    First an opening is compared with the first one of its bucket and its neighbour in
-    order, which joins most of them; then with every member of its buckets that is still in
-    another cluster, so that no link between clusters is missed. Components are found by
-    label propagation with jumps."""
-    signed = materialise(texts.select("opening").mapInArrow(_signatures, "opening string, bands array<long>, shingles array<long>").withColumn("id", F.xxhash64("opening")), "openings")
-    slots = signed.select("id", F.size("shingles").alias("size"), F.explode("bands").alias("band"))
+    Openings of the same shingles are one node. The clusters are the connected components of
+    all similar pairs that share a band bucket; sets of fewer than FEW shingles are similar
+    to equal ones only, so they need no buckets. First a node is compared with the first one
+    of its bucket and its neighbour in order, which joins most of them; then with every
+    member of its buckets that is still in another cluster, so that no link between clusters
+    is missed. Components are found by label propagation with jumps."""
+    signed = materialise(texts.select("opening").mapInArrow(_signatures, "opening string, bands array<long>, shingles array<long>").withColumn("id", F.xxhash64("shingles")), "openings")
+    nodes = materialise(signed.where("size(bands) > 0").dropDuplicates(["id"]).select("id", "bands", "shingles"), "opening-nodes")
+    slots = nodes.select("id", F.size("shingles").alias("size"), F.explode("bands").alias("band"))
     order = Window.partitionBy("band").orderBy("id")
     near = slots.select("id", F.first("id").over(order).alias("a"), F.lag("id").over(order).alias("b"))
-    links = _verified(near.select("id", F.explode(F.array("a", "b")).alias("to")).where("to is not null and to != id").distinct(), signed)
-    labels = _spread(materialise(signed.select("id", F.col("id").alias("cluster")), "opening-labels"), links)
-    more = _verified(_across(slots, labels), signed)
+    links = _verified(near.select("id", F.explode(F.array("a", "b")).alias("to")).where("to is not null and to != id").distinct(), nodes)
+    labels = _spread(materialise(nodes.select("id", F.col("id").alias("cluster")), "opening-labels"), links)
+    more = _verified(_across(slots, labels), nodes)
     if not more.isEmpty():
         labels = _spread(labels, links.unionByName(more))
-    return signed.select("opening", "id").join(labels, "id").select("opening", "cluster")
+    return signed.select("opening", "id").join(labels, "id", "left").select("opening", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def refusal_templates(rows: DataFrame) -> DataFrame:
-    """opening: the members of template clusters that recur across unrelated prompts and
-    hardly ever come with an answer."""
-    used = rows.where("label = '' and not foreign").select("prompt_key", "answered", F.explode("openings").alias("opening"))
+    """opening: hashes of the members of template clusters that recur across unrelated
+    prompts and hardly ever come with an answer."""
+    used = rows.where("label = '' and not foreign").select("prompt_key", "answered", F.explode("openings").alias("text")).withColumn("opening", F.xxhash64("text"))
     # one row per opening and prompt: a template that fills a third of the rows combines early
     per = materialise(used.groupBy("opening", "prompt_key").agg(F.count("*").alias("n"), F.count_if("answered").alias("good")), "opening-prompts")
-    named = clusters(per.select("opening").distinct())
-    sums = per.groupBy("opening").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    by = named.join(sums, "opening").groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    quiet = by.where(F.col("good") <= ANSWERED * F.col("n"))
-    members = named.join(quiet.select("cluster"), "cluster")
-    wide = members.join(per.select("opening", "prompt_key"), "opening").select("cluster", "prompt_key").distinct().groupBy("cluster").agg(F.count("*").alias("prompts")).where(F.col("prompts") >= PROMPTS)
-    return members.join(wide.select("cluster"), "cluster", "left_semi").select("opening")
+    texts = used.groupBy("opening").agg(F.first("text").alias("text"))
+    named = clusters(texts.select(F.col("text").alias("opening"))).select(F.xxhash64("opening").alias("opening"), "cluster")
+    counted = materialise(per.join(named, "opening"), "cluster-prompts")
+    quiet = counted.groupBy("cluster", "prompt_key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).groupBy("cluster").agg(F.count("*").alias("prompts"), F.sum("n").alias("n"), F.sum("good").alias("good"))
+    quiet = quiet.where((F.col("good") <= ANSWERED * F.col("n")) & (F.col("prompts") >= PROMPTS))
+    return named.join(quiet.select("cluster"), "cluster", "left_semi").select("opening")
 
 
 _PLAIN: list[Profiles] = []
@@ -252,7 +264,7 @@ def defects(lines: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     if templates.count() <= BROADCAST_TEMPLATES:
         templates = F.broadcast(templates)
     open_rows = rows.where("label = '' and not answered")
-    refused = open_rows.select("rec_id", F.explode("openings").alias("opening")).join(templates, "opening", "left_semi").select("rec_id").distinct().withColumn("refused", F.lit(True))
+    refused = open_rows.select("rec_id", F.explode(F.transform("openings", lambda t: F.xxhash64(t))).alias("opening")).join(templates, "opening", "left_semi").select("rec_id").distinct().withColumn("refused", F.lit(True))
     label = (
         F.when(F.col("label") != "", F.col("label"))
         .when(F.col("refused") & F.col("cut").isNull(), F.lit("refusal"))

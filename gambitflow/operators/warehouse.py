@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gambitflow.functions import calls
 from gambitflow.operators.deliveries import instant
 
 
@@ -48,11 +49,8 @@ def attempts(lines: DataFrame) -> DataFrame:
 
 
 def attempt_classes(rows: DataFrame) -> DataFrame:
-    s = F.col("http_status")
-    kind = (
-        F.when(s.between(200, 299), F.lit("ok")).when(s.isin(500, 504, 524), F.lit("server_slow")).when(s.isin(502, 503), F.lit("server_fast")).when(s == 429, F.lit("rate_limited"))
-        .when(s.between(400, 499), F.lit("client")).otherwise(F.lit("other"))
-    )
+    """class, n, avg_ms: attempts by the class that their status tells."""
+    kind = calls.attempt_class(F.col("http_status"), F.lit(None).cast("string"))["error_class"]
     return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.round(F.avg("duration_ms"), 3).alias("avg_ms"))
 
 

@@ -258,13 +258,6 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.attempts(table(spark, d, "openai_gpt_5"))
 
 
-@query("""WITH a AS (SELECT run_key, unnest(inference.attempts) AS a FROM openai_gpt_5)
-SELECT CASE WHEN a.http_status BETWEEN 200 AND 299 THEN 'ok' WHEN a.http_status IN (500, 504, 524) THEN 'server_slow' WHEN a.http_status IN (502, 503) THEN 'server_fast' WHEN a.http_status = 429 THEN 'rate_limited'
-  WHEN a.http_status BETWEEN 400 AND 499 THEN 'client' ELSE 'other' END AS class, count(*) AS n, round(avg(a.duration_ms), 3) AS avg_ms FROM a GROUP BY 1""")
-def attempt_classes(spark: SparkSession, d: str) -> DataFrame:
-    return warehouse.attempt_classes(warehouse.attempts(table(spark, d, "openai_gpt_5")))
-
-
 @query("""WITH a AS (SELECT epoch(try_cast(a.started_at AS TIMESTAMPTZ))::BIGINT AS s, a.duration_ms AS ms FROM (SELECT unnest(inference.attempts) AS a FROM openai_gpt_5)),
 t AS (SELECT make_timestamp(s // 600 * 600 * 1000000) AS tick, count(*) AS n, sum(ms)::BIGINT AS ms FROM a WHERE s IS NOT NULL GROUP BY 1)
 SELECT tick, n, ms, sum(n) OVER (ORDER BY tick)::BIGINT AS n_so_far FROM t""")

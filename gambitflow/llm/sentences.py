@@ -69,6 +69,10 @@ def _caseless(c: str) -> bool:
     return c.isalpha() and c.lower() == c.upper()
 
 
+#: Invisible characters inside words.
+_UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060]")
+
+
 def _before(text: str, low: int, at: int) -> str:
     """The word that ends at `at`, with the stops and hyphens inside it (as in e.g or c.-à-d);
     a part after a space counts too where it is one letter (z. B)."""
@@ -76,19 +80,20 @@ def _before(text: str, low: int, at: int) -> str:
     if at > low and text[at - 1].isdigit():
         number = re.search(r"(?:[A-Za-z]*\d[\d.,]*)$", text[max(low, at - 24) : at])
         return number.group() if number else ""
-    while k > low and (text[k - 1].isalnum() or text[k - 1] in ".-'’" or "̀" <= text[k - 1] <= "ͯ" or "ऀ" <= text[k - 1] <= "ॣ"):
+    while k > low and (text[k - 1].isalnum() or text[k - 1] in ".-'’\u00ad\u200b\u200c\u200d\u2060" or "̀" <= text[k - 1] <= "ͯ" or "ऀ" <= text[k - 1] <= "ॣ"):
         k -= 1
-    return text[k:at].lstrip(".-'’")
+    word = text[k:at].lstrip(".-'’")
+    return word if word.isascii() else _UNSEEN.sub("", word)
 
 
 #: A stop behind a letter, or behind a mark on one, and what follows.
-_STOPPED = re.compile("(?:(?<=[^\\W\\d_])|(?<=[\u0300-\u036f\u0900-\u0963]))\\.(?=(?:\\s+|(?=[,;:)]))([,;:)]|\\w+))")
+_STOPPED = re.compile("\\.(?<=[^\\W\\d_].|[\u0300-\u036f\u0900-\u0963].)(?=(?:\\s+|(?=[,;:)]))([,;:)]|\\w+))")
 #: Any stop behind a letter, or behind a mark on one.
-_ANY_STOP = re.compile("(?:(?<=[^\\W\\d_])|(?<=[\u0300-\u036f\u0900-\u0963]))\\.")
+_ANY_STOP = re.compile("\\.(?<=[^\\W\\d_].|[\u0300-\u036f\u0900-\u0963].)")
 #: The longest word that is counted, and the longest without stops in it that may be an
 #: abbreviation before a capital.
 _LONGEST, _PLAIN = 8, 6
-_CAPITAL = re.compile(r"(?<=[a-zà-öø-ÿа-яёα-ωά-ώ] )(?=[^\W\d_a-z])[^\W\d_]{3,}(?:[.'’-][^\W\d_]+)*")
+_CAPITAL = re.compile(r" (?<=[a-zà-öø-ÿа-яёα-ωά-ώ] )((?=[^\W\d_a-z])[^\W\d_]{3,}+(?:[.'’-][^\W\d_]+)*)")
 #: Abbreviations that close an enumeration.
 _CLOSING = re.compile(r"(?:^|\W)(?:т\.\s?[дп]|и др|usw|etc)$", re.IGNORECASE)
 _THAI = re.compile("[\u0e00-\u0eff\u1780-\u17ff]")
@@ -96,12 +101,12 @@ _THAI = re.compile("[\u0e00-\u0eff\u1780-\u17ff]")
 
 #: The first word of a paragraph, or of a sentence behind a mark that ends one for certain.
 _BEGINNING = re.compile(r"(?:\A|\n[^\S\n]*\n|[!?؟。！？।](?=[\s\"“«„¿¡—]))[\s\"“”«„¿¡—(]*+([^\W\d_]++)")
-#: A word before a number; whether the number has a stop and a move behind it.
-_BEFORE_NUMBER = re.compile(rf"([^\W\d_]++)[^\S\n]+\d{{1,3}}(?![\d.,]*\d)(\.\s+(?:\.\.\.)?{_SAN}(?![^\W_]))?")
+#: A number behind a word; whether it has a stop and a move behind it.
+_BEHIND_WORD = re.compile(rf"[^\S\n]\d{{1,3}}(?![\d.,]*\d)(\.\s+(?:\.\.\.)?{_SAN}(?![^\W_]))?")
 #: A number of one or two digits with a stop before a capitalised word.
-_ORDINAL_LIKE = re.compile(r"(?<![\d.,])\d{1,2}\.\s+([^\W\d_a-z]{1}[^\W\d_]++)(?![1-8])")
+_ORDINAL_LIKE = re.compile(r"\.(?<=\d\.)(?<![\d.,]\d\d\.)(?<![.,]\d\.)\s+([^\W\d_a-z][^\W\d_]++)(?![1-8])")
 #: A word without a stop behind it.
-_PLAIN_WORD = re.compile(r"[^\W\d_]++(?!\.)")
+_PLAIN_WORD = re.compile(r"[^\W\d_]++(?![.\d])")
 
 # what the corpus tells of a stopped word ...
 KNOWN, ABBREVIATION, TITLE, NAMED, NUMBERED = 1, 2, 4, 8, 16
@@ -114,6 +119,7 @@ class Evidence:
 
     def __init__(self, text: str):
         self.text = text
+        self._small = ""
         self._names: set[str] | None = None
         self._begins: set[str] | None = None
         self._stops: dict[str, list[int]] | None = None
@@ -123,7 +129,7 @@ class Evidence:
     def names(self) -> set[str]:
         """Capitalised words behind a small word that never occur in small letters."""
         if self._names is None:
-            found = {m.group() for m in _CAPITAL.finditer(self.text) if m.group()[0].isupper()}
+            found = {w for w in _CAPITAL.findall(self.text) if w[0].isupper()}
             self._names = {w for w in found if w.lower() not in self.text or not re.search(rf"\b{re.escape(w.lower())}\b", self.text)}
         return self._names
 
@@ -134,13 +140,26 @@ class Evidence:
             self._begins = set(_BEGINNING.findall(self.text))
         return self._begins
 
+    def repeats(self, low: str) -> bool:
+        """Does a word stand before a stop twice or more? Without that there is no evidence."""
+        if not self._small:
+            self._small = self.text.lower()
+        return self._small.count(low + ".") > 1
+
     @property
     def counted(self) -> dict[str, list[int]]:
         """noun -> [before a number without a move behind it, before one with it]"""
         if self._counted is None:
             out: dict[str, list[int]] = {}
-            for w, move in _BEFORE_NUMBER.findall(self.text):
-                out.setdefault(w.lower(), [0, 0])[bool(move)] += 1
+            for m in _BEHIND_WORD.finditer(self.text):
+                end = m.start()
+                while end and self.text[end - 1] in " \t\u00a0\u3000":
+                    end -= 1
+                k = end
+                while k and self.text[k - 1].isalpha():
+                    k -= 1
+                if k < end:
+                    out.setdefault(self.text[k:end].lower(), [0, 0])[m.group(1) is not None] += 1
             self._counted = out
         return self._counted
 
@@ -178,9 +197,9 @@ class Splitter:
 
     def _about(self, low: str, told: Evidence) -> int:
         """Flags of a stopped word: the document first, then the corpus, then the lists."""
-        own = told.stops.get(low)
         flags = self.corpus.get("w" + low, 0)
-        if own and own[0] > 1 and (len(low) <= _PLAIN or "." in low):
+        own = told.stops.get(low) if (len(low) <= _PLAIN or "." in low) and told.repeats(low) else None
+        if own and own[0] > 1:
             # the document shows the abbreviation; whether names follow it, too, or the corpus
             return flags | KNOWN | ABBREVIATION | (NAMED if own[2] or not flags else 0)
         if flags:
@@ -343,7 +362,7 @@ class Splitter:
             word = _before(text, start, dot).lower()
             if word[-1:].isdigit():
                 return not word.isdigit() or len(word) > 2 or self._counted(text, start, dot, word, told)
-            return len(word) > 2 and "." not in word and told.stops.get(word, (0,))[0] < 2 and not self._about(word, told) & ABBREVIATION
+            return len(word) > 2 and "." not in word and not (told.repeats(word) and told.stops.get(word, (0,))[0] > 1) and not self._about(word, told) & ABBREVIATION
         return self._stop_ends(text, start, dot, gap, high, nxt, told)
 
     @staticmethod
@@ -363,6 +382,11 @@ class Splitter:
             return bool(self.corpus["n" + noun] & COUNTED)
         return noun in _COUNTED
 
+    @staticmethod
+    def _next_word(text, gap, high) -> str:
+        m = _WORD.match(text, gap, high)
+        return m.group() if m else ""
+
     def _ordinal(self, text, start, dot, word, following, told) -> bool:
         """Is a number with a stop an ordinal of the capitalised word behind it?"""
         if len(word) > 2 or not following:
@@ -377,12 +401,10 @@ class Splitter:
         if not word:
             return True
         low = word.lower()
-        m = _WORD.match(text, gap, high)
-        following = m.group() if m else ""
         if word.isdigit():
             if len(word) <= 3 and _MOVE_NEXT.match(text, gap, high) and not self._counted(text, start, dot, word, told):
                 return False
-            return not self._ordinal(text, start, dot, word, following, told)
+            return not self._ordinal(text, start, dot, word, self._next_word(text, gap, high), told)
         if word[-1].isdigit():
             return True
         # initials, and one letter with a stop before another one, as in z. B.
@@ -406,6 +428,7 @@ class Splitter:
             return False
         if low == "г" and not about & KNOWN:  # a town, unless a year stands before it
             return bool(re.search(r"\d\s*$", text[start : dot - 1]))
+        following = self._next_word(text, gap, high)
         flags = self.corpus.get("f" + following, 0)
         if following in told.names or flags & (NAME | INSIDE):
             return not about & NAMED
@@ -449,13 +472,15 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """kind, word, next, n: counts of a task. Kinds: s stopped word (next: what follows; ''
     a small letter or comma, 0 a digit), c capital behind a small word, b beginning of a
     sentence, l word without a stop, in small letters, n noun before numbers."""
-    counts: Counter[tuple[str, str, str]] = Counter()
+    stopped: Counter[tuple[str, str]] = Counter()
+    numbers: Counter[tuple[str, str]] = Counter()
+    single = {kind: Counter() for kind in "bcl"}
 
     def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays([*[pa.array([k[x] for k in keys], pa.string()) for x in range(3)], pa.array(list(counts.values()), pa.int64())], ["kind", "word", "next", "n"])
-        counts.clear()
-        return out
+        rows = [("s", *k, n) for k, n in stopped.items()] + [("n", *k, n) for k, n in numbers.items()] + [(kind, w, "", n) for kind, c in single.items() for w, n in c.items() if kind != "l" or not w[0].isupper()]
+        for c in (stopped, numbers, *single.values()):
+            c.clear()
+        return pa.RecordBatch.from_arrays([*[pa.array([r[x] for r in rows], pa.string()) for x in range(3)], pa.array([r[3] for r in rows], pa.int64())], ["kind", "word", "next", "n"])
 
     for b in batches:
         for text in b.column(0).to_pylist():
@@ -464,25 +489,20 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             told = Evidence(text)
             for w, rest in told.stopped():
                 first = rest[0]
-                counts["s", w, "" if first.islower() or first in ",;:)" else "0" if first.isdigit() else rest] += 1
+                stopped[w, "" if first.islower() or first in ",;:)" else "0" if first.isdigit() else rest] += 1
             for x in _ORDINAL_LIKE.findall(text):
-                counts["s", "#", x] += 1
+                stopped["#", x] += 1
             for w, n in told.counted.items():
                 if n[0]:
-                    counts["n", w, "other"] += n[0]
+                    numbers[w, "other"] += n[0]
                 if n[1]:
-                    counts["n", w, "move"] += n[1]
-            for x in told.begins:
-                counts["b", x, ""] += 1
-            for x in set(_CAPITAL.findall(text)):
-                counts["c", x, ""] += 1
-            for x in set(_PLAIN_WORD.findall(text)):
-                if not x[0].isupper():
-                    counts["l", x, ""] += 1
-            if len(counts) > _COUNTS:
+                    numbers[w, "move"] += n[1]
+            single["b"].update(told.begins)
+            single["c"].update(set(_CAPITAL.findall(text)))
+            single["l"].update(set(_PLAIN_WORD.findall(text)))
+            if len(stopped) + len(single["l"]) > _COUNTS:
                 yield flush()
-    if counts:
-        yield flush()
+    yield flush()
 
 
 def corpus_table(texts: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def quotas(candidates: DataFrame, kinds: list[str], n: int, id_col: str, order:
         for kind in kinds:
             mine = [item for _, item in sorted(by[kind]) if item not in taken][:n]
             taken.update(mine)
-            yield pa.RecordBatch.from_pydict({"kind": [kind] * len(mine), id_col: pa.array(mine, few_type), "no": pa.array(range(len(mine)), pa.int32())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(mine), pa.string()), id_col: pa.array(mine, few_type), "no": pa.array(range(len(mine)), pa.int32())})
 
     few_type = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     return few.coalesce(1).mapInArrow(assign, f"kind string, {id_col} {id_type}, no int")

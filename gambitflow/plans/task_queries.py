@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gambitflow.functions import prompts, text
 from gambitflow.functions.prompts import MOTIFS, STRUCTURAL, Kind
-from gambitflow.operators import taskgen
+from gambitflow.operators import choices, taskgen
 from gambitflow.plans.board_queries import _ATTACK, _BOTH, _NAME, _P, _RAYS, _VALUE
 from gambitflow.sources.tables import table
 
@@ -134,3 +134,30 @@ def prompts_with_context(spark: SparkSession, d: str) -> DataFrame:
     """Prompts with pieces and legal moves in the place of the context."""
     t = table(spark, d, "tasks").withColumn("format_examples", F.from_json("format_examples", "array<string>"))
     return taskgen.with_context(t)
+
+
+def _comments(spark: SparkSession, d: str) -> DataFrame:
+    doc = table(spark, d, "documents")
+    piece = F.regexp_extract(F.lower("text"), r"\b(king|queen|rook|bishop|knight|pawn)\b", 1)
+    return choices.prepared(doc.select(
+        "doc_id", F.col("text").alias("comment"), F.lit(None).cast("string").alias("cleaned_comment"), text.keywords_in(F.col("text"), text.CHESS_WORDS).alias("keywords"), piece.alias("move_piece"),
+        F.regexp_extract("text", r"\b(\d{1,2})\. ", 1).alias("move_number"), F.lit("").alias("fen_before"), F.lit("").alias("fen_after"), F.lit("").alias("move_uci"), F.lit(None).cast("string").alias("side_to_move"),
+    ), "doc_id")
+
+
+@query()
+def keyword_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Multiple-choice tasks with distractors that share a keyword."""
+    return choices.choice_tasks(_comments(spark, d), "keyword", N)
+
+
+@query()
+def stage_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The same with distractors of the same piece and stage of the game."""
+    return choices.choice_tasks(_comments(spark, d), "piece_stage", N)
+
+
+@query()
+def vector_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the nearest vectors as distractors."""
+    return choices.choice_tasks(_comments(spark, d), "embedding", N, vectors=table(spark, d, "embeddings"))

@@ -3,7 +3,10 @@
 `fold` is the rule; `folded` applies it to stored events, `folded_stream` to a stream with
 a state per attempt. An event is the text of one line; comments and lines without data are
 ignored. A message counts as complete only with positive evidence: usage or a finish
-reason, not the mere end of the stream.
+reason, not the mere end of the stream. A stream that broke off tells how much had come.
+
+Defined results: a null line or one without data changes nothing; nothing behind the end mark
+counts; lines of one seq beyond the first are ignored in a stream.
 """
 
 from __future__ import annotations
@@ -15,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUT = "attempt_key string, content string, reasoning string, finish_reason string, usage string, chunks int, complete boolean, error string, first_ms long"
+OUT = "attempt_key string, content string, reasoning string, finish_reason string, usage string, chunks int, complete boolean, error string, first_ms long, ttft_ms long, content_chars int, reasoning_chars int"
 
 
 def start() -> dict:
-    return {"content": "", "reasoning": [], "finish": None, "usage": None, "chunks": 0, "done": False, "error": None, "first": None}
+    return {"content": "", "reasoning": [], "finish": None, "usage": None, "chunks": 0, "done": False, "error": None, "first": None, "begun": None}
 
 
 def merge_fragments(parts: list[dict], new: list[dict]) -> list[dict]:
@@ -38,6 +41,8 @@ def merge_fragments(parts: list[dict], new: list[dict]) -> list[dict]:
 
 def fold(state: dict, line: str, ms: int | None = None) -> dict:
     """One line into the state; nothing after the end mark counts."""
+    if state["begun"] is None:
+        state["begun"] = ms
     if state["done"] or not line or not line.startswith("data:"):
         return state
     body = line[5:].strip()
@@ -54,7 +59,7 @@ def fold(state: dict, line: str, ms: int | None = None) -> dict:
     if event.get("error"):
         state["error"], state["done"] = json.dumps(event["error"], sort_keys=True), True
         return state
-    if event.get("usage"):
+    if event.get("usage") and event.get("type") != "message_delta":
         state["usage"] = {**(state["usage"] or {}), **event["usage"]}
     for choice in event.get("choices") or []:
         delta = choice.get("delta") or {}
@@ -68,6 +73,10 @@ def fold(state: dict, line: str, ms: int | None = None) -> dict:
             merge_fragments(state["reasoning"], [{"type": "text", "text": delta["reasoning"]}])
         state["finish"] = choice.get("finish_reason") or state["finish"]
     kind = event.get("type")
+    begun = event.get("message") if kind == "message_start" else None
+    if isinstance(begun, dict) and begun.get("usage"):
+        # the start event tells the input tokens; later ones add to them
+        state["native"] = {**begun["usage"], **(state.get("native") or {})}
     if kind == "content_block_delta":
         d = event.get("delta") or {}
         state["chunks"] += 1
@@ -76,57 +85,81 @@ def fold(state: dict, line: str, ms: int | None = None) -> dict:
         if d.get("thinking"):
             merge_fragments(state["reasoning"], [{"index": event.get("index"), "type": "thinking", "text": d["thinking"]}])
     elif kind == "message_delta":
+        state["native"] = {**(state.get("native") or {}), **(event.get("usage") or {})}
         state["finish"] = (event.get("delta") or {}).get("stop_reason") or state["finish"]
     elif kind == "message_stop":
         state["finish"] = state["finish"] or "stop"
+        state["done"] = True
     return state
 
 
 def row_of(key: str, s: dict) -> dict:
+    """The row of an attempt. Usage of a native start event alone is no evidence of an end."""
+    usage = s["usage"] if not s.get("native") else {**s["native"], **(s["usage"] or {})}
     complete = s["error"] is None and (s["usage"] is not None or s["finish"] is not None)
+    reasoning = "\n".join(p.get("text") or p.get("summary") or "" for p in s["reasoning"])
+    ttft = None if s["first"] is None or s["begun"] is None else s["first"] - s["begun"]
     return {
-        "attempt_key": key, "content": s["content"], "reasoning": "\n".join(p.get("text") or p.get("summary") or "" for p in s["reasoning"]) or None, "finish_reason": s["finish"],
-        "usage": None if s["usage"] is None else json.dumps(s["usage"], sort_keys=True), "chunks": s["chunks"], "complete": complete, "error": s["error"], "first_ms": s["first"],
+        "attempt_key": key, "content": s["content"], "reasoning": reasoning or None, "finish_reason": s["finish"], "usage": None if usage is None else json.dumps(usage, sort_keys=True), "chunks": s["chunks"], "complete": complete,
+        "error": s["error"], "first_ms": s["first"], "ttft_ms": ttft, "content_chars": len(s["content"]), "reasoning_chars": sum(len(p.get("text") or p.get("summary") or "") for p in s["reasoning"]),
     }
 
 
+def _frame(key: str, state: dict) -> pd.DataFrame:
+    return pd.DataFrame([row_of(key, state)]).astype({"first_ms": "Int64", "ttft_ms": "Int64"})
+
+
 def folded(events: DataFrame) -> DataFrame:
     """events: attempt_key, seq, ms, line -> one row per attempt. Events of one attempt are
-    ordered inside its task; an attempt is one message, bounded by the model's token limit."""
+    ordered inside its task; an attempt is one message, bounded by the model's token limit.
+    ttft_ms counts from the first event, so the first one should be the request."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         state = start()
         for line, ms in pdf.sort_values("seq")[["line", "ms"]].itertuples(index=False):
             fold(state, line, None if pd.isna(ms) else int(ms))
-        return pd.DataFrame([row_of(key[0], state)]).astype({"first_ms": "Int64"})
+        return _frame(key[0], state)
 
     return events.groupBy("attempt_key").applyInPandas(run, OUT)
 
 
-def folded_stream(events: DataFrame, timeout: str = "10 minutes") -> DataFrame:
-    """The same over a stream with event time `ts`: an attempt is emitted when its end mark
-    or an error comes, or incomplete when the watermark passes its time-out. Lines are
-    folded in the order of seq within a micro-batch."""
+def folded_stream(events: DataFrame, timeout: str = "10 minutes", first_seq: int = 0) -> DataFrame:
+    """The same over a stream with event time `ts`: an attempt is emitted once, when its end
+    mark or an error comes, or as it is when the watermark passes its time-out.
+
+    seq numbers the lines of an attempt without gaps from `first_seq`. A line that comes
+    before its turn, within a micro-batch or across several, is held until the gap is closed
+    or the time-out comes. After the end the state stays until the time-out, so late and
+    repeated lines start no second row."""
     minutes = int(timeout.split()[0]) * 60_000
 
+    def advance(now: dict) -> None:
+        while (step := now["held"].pop(str(now["next"]), None)) is not None:
+            fold(now["fold"], step[0], step[1])
+            now["next"] += 1
+
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else start()
+        now = json.loads(state.get[0]) if state.exists else {"fold": start(), "next": first_seq, "held": {}, "told": False}
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([row_of(key[0], now)]).astype({"first_ms": "Int64"})
+            if not now["told"]:
+                for k in sorted(now["held"], key=int):  # the gap was never closed
+                    fold(now["fold"], *now["held"][k])
+                yield _frame(key[0], now["fold"])
             return
         last = 0
         for pdf in pdfs:
-            for line, ms, ts in pdf.sort_values("seq")[["line", "ms", "ts"]].itertuples(index=False):
-                fold(now, line, None if pd.isna(ms) else int(ms))
+            for seq, line, ms, ts in pdf[["seq", "line", "ms", "ts"]].itertuples(index=False):
                 last = max(last, int(pd.Timestamp(ts).timestamp() * 1000))
-        if now["done"]:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([row_of(key[0], now)]).astype({"first_ms": "Int64"})
-        else:
-            state.update((json.dumps(now),))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + minutes)
+                if not now["told"] and int(seq) >= now["next"]:
+                    now["held"].setdefault(str(int(seq)), [line, None if pd.isna(ms) else int(ms)])
+        advance(now)
+        if now["fold"]["done"] and not now["told"]:
+            row = _frame(key[0], now["fold"])
+            now = {"fold": start(), "next": now["next"], "held": {}, "told": True}
+            yield row
+        state.update((json.dumps(now),))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + minutes)
 
     return events.withWatermark("ts", timeout).groupBy("attempt_key").applyInPandasWithState(run, OUT, "state string", "append", "EventTimeTimeout")
 

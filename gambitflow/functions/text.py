@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,11 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
 
@@ -160,43 +168,71 @@ def count_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit("[A-Za-z0-9']+"))
 
 
-#: Ordered rewriting rules for inline notation marks: (pattern, replacement).
-_NOTATION = [
-    (r"\[%[^\]]*\]", ""), (r"\$\d+", ""),
-    (r"(?<!\d)(\d+)\.{3,}(?=[A-Za-z0])", "$1 "), (r"(?<!\d)(\d+)\.(?=[A-Za-z])", "$1 "),
-    (r"(?<=\d)\.{3,}", ""), (r"\.{3,}(?=[A-Za-z])", " "),
-    (r"(?<!\S)(\d+)(?:\.{3,}|\.)(?=\s)", "$1"), (r"(?<!\S)\d+(?:\.{3,}|\.)(?=\z|[.,;:!?])", ""),
-    (r"(?<=\()(\d+)(?:\.{3,}|\.)(?=\s)", "$1"), (r"(?<=\()\d+(?:\.{3,}|\.)(?=\)|\z)", ""),
-    (r"([.!?)])\s*\d+\z", "$1"), (r"[\x{E000}-\x{F8FF}]", ""),
-]
-
-
 def strip_notation(c: Column) -> Column:
-    for pattern, to in _NOTATION:
-        c = F.regexp_replace(c, pattern, to)
-    return collapse(c)
+    """Comments without inline tags, annotation numbers and the dots of move numbers.
+
+    The text is cut into runs of digits, of dots, of white space and of anything else; what
+    becomes of a run of dots or of a number is decided by its neighbours:
+    dots between a number and a letter are a space (two dots are no mark); three dots or more
+    behind a number go, and before a letter they are a space; the dot of a number that stands
+    free, or opens a bracket, goes, and the number with it where nothing follows; a number
+    behind the last mark of a sentence goes."""
+    plain = F.regexp_replace(c, r"\[%[^\]]*\]|\$\d+", "")
+
+    def decide(runs: Column, x: Column, k: Column) -> Column:
+        at = lambda d: F.coalesce(F.get(runs, k + d), F.lit(""))
+        number, dots = x.rlike(r"\A\d+\z"), x.startswith(".")
+        free = lambda d: (k + d < 0) | at(d).rlike(r"\A\s") | (at(d) == "")
+        bracket = lambda d: at(d).endswith("(")
+        # of dots: the number before them and what stands before that
+        n, after = F.length(x), at(1)
+        counted = at(-1).rlike(r"\A\d+\z")
+        letter = after.rlike(r"\A[A-Za-z]")
+        many = n >= 3
+        closed = lambda own, nxt: (free(own) & (nxt.rlike(r"\A[,;:!?]") | (nxt == ""))) | (bracket(own) & (nxt.startswith(")") | (nxt == "")))
+        stands = free(-2) | bracket(-2)
+        of_dots = (
+            F.when(counted & ((letter & (many | (n == 1))) | (many & after.startswith("0"))), F.lit(" "))
+            .when(counted & many, F.lit(""))
+            .when(many & letter, F.lit(" "))
+            .when(counted & (n == 1) & ((stands & after.rlike(r"\A\s")) | closed(-2, after)), F.lit(""))
+            .otherwise(x)
+        )
+        # of a number: does its dot go with nothing behind it, or is it a stray counter at the end
+        dropped = (at(1) == ".") & closed(-1, at(2))
+        mark = F.when(at(-1).rlike(r"\A\s"), at(-2)).otherwise(at(-1))
+        stray = (k == F.size(runs) - 1) & mark.rlike(r"[.!?)]\z")
+        return F.when(dots, of_dots).when(number & (dropped | stray), F.lit("")).otherwise(x)
+
+    cut = F.regexp_extract_all(plain, F.lit(r"\d+|\.+|\s+|[^\d.\s]+"), 0)
+    joined = _with(cut, lambda runs: F.array_join(F.transform(runs, lambda x, k: decide(runs, x, k)), ""))
+    return collapse(F.regexp_replace(joined, r"[\x{E000}-\x{F8FF}]", ""))
 
 
 def keywords_in(c: Column, keywords: list[str]) -> Column:
     """Keywords whose words stand in a text, the longest first."""
     norm = lambda x: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), 0), " "), F.lit(" "))
     ordered = sorted(set(keywords), key=lambda k: (-len(k), k))
-    return F.filter(F.array(*[F.lit(k) for k in ordered]), lambda k: F.contains(norm(c), norm(k)))
+    plain = [" ".join(re.findall("[a-z0-9]+", k.lower())) for k in ordered]
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f" {p} ").alias("p")) for k, p in zip(ordered, plain, strict=True)])
+    return _with(norm(c), lambda t: F.transform(F.filter(known, lambda k: F.contains(t, k["p"])), lambda k: k["k"]))
 
 
 #: Phrases of comments without chess content, and words of those with it.
 GENERIC = ["i will play", "we will draw", "as they say", "people say", "it is said", "in general", "generally speaking", "quote", "famous quote", "life", "luck"]
-CHESS_WORDS = "king queen rook bishop knight pawn kingside queenside file rank diagonal check checkmate mate castle castling gambit fork pin skewer x-ray xray tempo initiative zugzwang outpost".split() + ["passed pawn"]
+CHESS_WORDS = [
+    "king", "queen", "rook", "bishop", "knight", "pawn", "kingside", "queenside", "file", "rank", "diagonal", "check", "checkmate", "mate", "castle", "castling", "gambit", "fork", "pin", "skewer", "x-ray", "xray",
+    "tempo", "initiative", "zugzwang", "outpost", "passed pawn",
+]
+#: A move or a square at the beginning of a word; piece letters are capitals.
+_MOVE = r"(?<![A-Za-z0-9])(?:(?i:o-o|0-0)|[KQRBN]?(?i:(?:[a-h][1-8]|[a-h]|[1-8])?x?[a-h][1-8]))"
 
 
 def relevant(c: Column) -> Column:
     """Is a comment long enough, not generic, and about chess?"""
     t = strip(F.coalesce(c, F.lit("")))
-    low = F.lower(t)
-    generic = F.exists(F.array(*[F.lit(g) for g in GENERIC]), lambda g: F.contains(low, g))
-    words = F.exists(F.array(*[F.lit(w) for w in CHESS_WORDS]), lambda w: F.contains(low, w))
-    moves = t.rlike(r"(?i)\b[o0]-o(-o)?\b") | t.rlike(r"(?i)\b[a-h]x?[a-h][1-8]") | t.rlike(r"\b[a-h][1-8]([a-h][1-8])?\b") | t.rlike(r"\b[QRBNK][a-h]?[1-8]?x?[a-h][1-8]")
-    return (F.length(t) >= 25) & ~generic & (moves | words)
+    holds = lambda words: _with(F.lower(t), lambda low: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
+    return (F.length(t) >= 25) & ~holds(GENERIC) & (holds(CHESS_WORDS) | t.rlike(_MOVE))
 
 
 def keep_or_drop(c: Column) -> Column:
@@ -205,41 +241,71 @@ def keep_or_drop(c: Column) -> Column:
 
 
 def name_parts(c: Column) -> Column:
-    """struct(first, last, parts) of 'Last, First' or 'First .. Last'."""
-    t = collapse(F.replace(c, F.lit("/"), F.lit(" ")))
-    comma = F.split(t, r"\s*,\s*", 2)
-    words = F.filter(F.split(F.replace(t, F.lit(","), F.lit(" ")), r"\s+"), lambda x: x != "")
-    turned = F.contains(t, F.lit(","))
+    """struct(first, last, parts) of 'Last, First Middle' or 'First .. Last'; a single word is
+    both. parts: the pieces of letters and apostrophes. Null and blank names have none."""
+    t = collapse(F.translate(F.coalesce(c, F.lit("")), "\\/", "  "))
+    comma = F.instr(t, ",")
+    words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    behind = words(strip(F.substring(t, comma + 1, F.length(t))))
+    before = strip(F.substring(t, F.lit(1), F.greatest(comma - 1, F.lit(0))))
     return F.struct(
-        F.when(turned, F.get(comma, F.lit(1))).otherwise(F.get(words, F.lit(0))).alias("first"),
-        F.when(turned, F.get(comma, F.lit(0))).when(F.size(words) > 1, F.try_element_at(words, F.lit(-1))).otherwise(F.lit("")).alias("last"),
-        words.alias("parts"),
+        F.coalesce(F.when(comma > 0, F.try_element_at(behind, F.lit(1))).otherwise(F.try_element_at(words(t), F.lit(1))), F.lit("")).alias("first"),
+        F.coalesce(F.when(comma > 0, before).otherwise(F.try_element_at(words(t), F.lit(-1))), F.lit("")).alias("last"),
+        F.regexp_extract_all(t, F.lit("[A-Za-z']+"), 0).alias("parts"),
     )
 
 
+def aliases(name: Column) -> Column:
+    """All forms of a name: whole, first, last, every part."""
+    p = name_parts(name)
+    return F.array_distinct(F.filter(F.concat(F.array(F.coalesce(name, F.lit("")), p["first"], p["last"]), p["parts"]), lambda a: a != ""))
+
+
+def annotator_side(annotator: Column, white: Column, black: Column) -> Column:
+    """White or Black if the annotator is that player, by the letters of their names; else null."""
+    letters = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z]", "")
+    a = letters(annotator)
+    return F.when(a == "", F.lit(None)).when(a == letters(white), F.lit("White")).when(a == letters(black), F.lit("Black"))
+
+
 def replace_aliases(text: Column, aliases: Column, to: str) -> Column:
     """Each alias, the longest first, outside of longer words and whatever its case."""
-    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(F.filter(aliases, lambda a: a != "")), lambda a: F.struct((-F.length(a)).alias("n"), F.lower(a).alias("l"), a.alias("a")))), lambda s: s["a"])
+    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: a != "")), lambda a: F.struct((-F.length(a)).alias("n"), F.lower(a).alias("l"), a.alias("a")))), lambda s: s["a"])
     quoted = lambda a: F.concat(F.lit(r"(?i)(?<![A-Za-z])"), F.regexp_replace(a, r"([\\^$.|?*+()\[\]{}-])", r"\\$1"), F.lit("(?![A-Za-z])"))
     return F.aggregate(ordered, text, lambda acc, a: F.regexp_replace(acc, quoted(a), F.lit(to)))
 
 
-def replace_first_person(c: Column, side: str) -> Column:
-    rules = [(r"I'm", f"{side} is"), (r"I've", f"{side} has"), (r"I'll", f"{side} will"), (r"I'd", f"{side} would"), ("myself", side), ("my", f"{side}'s"), ("mine", f"{side}'s"), ("me", side), ("I", side)]
-    for word, to in rules:
-        c = F.regexp_replace(c, rf"(?i)\b{word}\b", to)
-    return c
+#: What stands for a word of the first person; {} is the side.
+FIRST_PERSON = {"i": "{}", "me": "{}", "myself": "{}", "my": "{}'s", "mine": "{}'s", "i'm": "{} is", "i've": "{} has", "i'll": "{} will", "i'd": "{} would"}
+
+
+def replace_first_person(c: Column, side: Column | str) -> Column:
+    """Words of the first person as the side; the text is cut into words and looked up. A
+    null side leaves the text as it is."""
+    side = F.lit(side) if isinstance(side, str) else side
+    words = F.regexp_extract_all(c, F.lit(r"(?i)\bi'(?:m|ve|ll|d)\b|\w+|\W"), 0)
+    known = F.create_map(*[F.lit(x) for kv in FIRST_PERSON.items() for x in kv])
+    said = lambda w: F.coalesce(F.replace(F.try_element_at(known, F.lower(w)), F.lit("{}"), side), w)
+    return F.when(side.isNull(), c).otherwise(F.array_join(F.transform(words, said), ""))
+
+
+#: Labels that a model puts before its text.
+LABELS = ["cleaned", "output", "result", "answer", "text", "comment"]
 
 
 def clean_model_text(c: Column) -> Column:
-    """What a cleaning model meant to say: without thoughts, fences and labels; the last
-    quoted piece, else the last line; SKIP where nothing is left."""
-    t = strip(F.regexp_replace(F.regexp_replace(strip(c), r"(?m)^```\w*$", ""), r"\A[` ]+|[` ]+\z", ""))
-    t = strip(F.regexp_replace(t, r"(?is)<think>.*?(</think>|\z)", ""))
-    lines = F.filter(F.transform(F.split(t, r"\R"), strip), lambda x: x != "")
-    quoted = F.regexp_extract_all(t, F.lit('"([^"\n]+)"'), 1)
+    """What a cleaning model meant to say: its last quoted piece, else its last line, without
+    thoughts, fences, a label and quotes around it; SKIP where it says so or nothing is left."""
+    parts = F.split(c, "(?i)<think>")
+    spoken = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.coalesce(F.get(F.split(p, "(?i)</think>", 2), F.lit(1)), F.lit(""))), ""))
+    bare = lambda x: strip(F.btrim(x, F.lit("`")))
+    lines = F.filter(F.transform(F.filter(F.split(spoken, r"\R"), lambda x: ~x.rlike(r"\A```\w*\s*\z")), bare), lambda x: x != "")
+    quoted = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit('"([^"]+)"'), 1)))
     pick = F.coalesce(strip(F.try_element_at(quoted, F.lit(-1))), F.try_element_at(lines, F.lit(-1)))
-    pick = collapse(F.regexp_replace(pick, r"(?i)\A(Cleaned|Output|Result|Answer|Text|Comment)\s*[:\x{FF1A}]\s*", ""))
-    pick = strip(F.regexp_replace(pick, r"""\A"(.*)"\z|\A'(.*)'\z""", "$1$2"))
+    colon = F.regexp_instr(pick, F.lit("[:\uff1a]"))
+    labelled = (colon > 1) & F.lower(F.rtrim(F.substring(pick, F.lit(1), colon - 1))).isin(*LABELS)
+    said = collapse(F.when(labelled, F.substring(pick, colon + 1, F.length(pick))).otherwise(pick))
+    first, last = F.left(said, F.lit(1)), F.right(said, F.lit(1))
+    said = F.when((F.length(said) > 1) & (first == last) & first.isin('"', "'"), strip(F.substring(said, F.lit(2), F.length(said) - 2))).otherwise(said)
     skip = F.exists(lines, lambda x: F.upper(x) == "SKIP")
-    return F.when(c.isNull() | skip | pick.isNull() | (pick == ""), F.lit("SKIP")).otherwise(pick)
+    return F.when(c.isNull() | skip | said.isNull() | (said == ""), F.lit("SKIP")).otherwise(said)

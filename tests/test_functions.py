@@ -44,7 +44,7 @@ def test_names(spark):
     r = df.select(text.display_name(F.col("k"), F.col("m"), F.col("t")).alias("d"), text.run_meta(F.col("k")).alias("x")).collect()
     assert [x.d for x in r] == ["b (thinking)", "b (verbose CoT)", "b (no thinking)"]
     assert tuple(r[0].x) == ("a/b", 1, 1, 2)
-    assert [(p.first, p.last) for p in run(spark, ["Aronian, Levon", "Levon  Aronian", "Levon"], text.name_parts)] == [("Levon", "Aronian"), ("Levon", "Aronian"), ("Levon", "")]
+    assert [(p.first, p.last) for p in run(spark, ["Aronian, Levon", "Levon  Aronian", "Levon", "Aronian, Levon G.", "Levon/G. Aronian", None, " "], text.name_parts)] == [("Levon", "Aronian"), ("Levon", "Aronian"), ("Levon", "Levon"), ("Levon", "Aronian"), ("Levon", "Aronian"), ("", ""), ("", "")]
 
 
 def test_commentary(spark):
@@ -59,6 +59,23 @@ def test_commentary(spark):
     assert run(spark, ["keep it", "no", None, "drop or keep"], text.keep_or_drop) == ["KEEP", "DROP", "DROP", "DROP"]
 
 
+def test_strip_notation_cases(spark):
+    cases = {
+        "12...Nf6 13.e4 14... x": "12 Nf6 13 e4 14 x", "a 5.": "a", "see 5., then": "see , then", "(14.) (15. Nf3) (16.": "() (15 Nf3) (", "x...y": "x y", "at 7...": "at 7", "3 .. 4 5.. b": "3 .. 4 5.. b", "2.5 and 10.c": "2.5 and 10 c", "won! 31": "won!", "so (a) 31": "so (a)",
+        "no 31": "no 31", "9...0-0 9.0-0": "9 0-0 9.0-0", "\ue123x \ue025": "x", "...e5": "e5", "$1$22": "", "": "", "1.e4": "1 e4", "v1.Nf3": "v1 Nf3", "5.": "", "7. ": "7",
+    }
+    assert dict(zip(cases, run(spark, list(cases), text.strip_notation), strict=True)) == cases
+
+
+def test_names_and_first_person(spark):
+    assert sorted(run(spark, ["So, Wesley"], text.aliases)[0]) == ["So", "So, Wesley", "Wesley"] and run(spark, [None, ""], text.aliases) == [[], []]
+    side = lambda c: text.annotator_side(c, F.lit("Steinitz, William"), F.lit("Blackburne"))
+    assert run(spark, ["STEINITZ William", "Blackburne.", "Someone", "", None, "12"], side) == ["White", "Black", None, None, None, None]
+    assert run(spark, ["I'd've said: MINE, i'll (myself) Imine I'm", "no"], lambda c: text.replace_first_person(c, "White")) == ["White would've said: White's, White will (White) Imine White is", "no"]
+    assert run(spark, ["I win"], lambda c: text.replace_first_person(c, F.lit(None).cast("string"))) == ["I win"]
+    assert run(spark, ["Output : x", "a\n`b`", "<think>never closed", "say <THINK>a</think>it\n\nnow", "Result\uff1a \"q r\"", '""', "note: x"], text.clean_model_text) == ["x", "b", "SKIP", "now", "q r", "SKIP", "note: x"]
+
+
 def test_strip_notation_against_python(spark):
     cases = ["1.e4 e5 2.Nf3", "see 12... and 13. then", "(14.) x", "a 5.", "x...y", "9...O-O", "9...0-0", "end. 14", "end) 7", "3 .. 4"]
     got = run(spark, cases, text.strip_notation)

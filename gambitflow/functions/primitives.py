@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gambitflow.functions.boards import board_difference, board_string
 from gambitflow.functions.text import strip
 
 _SQUARE = r"\A[a-h][1-8]\z"
 _UCI = r"\A[a-h][1-8][a-h][1-8][qrbn]?\z"
+# fixed values: task types by the form of their answers
 MOVE_TYPES = ["structural_check_in_1", "structural_legal_move_all", "structural_legal_move_piece", "motifs_discovered_check", "motifs_double_check"]
 SQUARE_TYPES = ["structural_capture_squares", "structural_control_squares", "structural_protect_squares"]
 CHAIN_TYPES = ["motifs_pin", "motifs_skewer", "motifs_battery"]
@@ -81,9 +83,9 @@ def arrangement(c: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 
 
-def primitive(task_type: Column, answer: Column) -> Column:
-    """struct(type, arrows, squares, value, letter, items, text). Boards as answers need the
-    rules of the game: their texts are kept with type 'fen' for the rules kernel."""
+def primitive(task_type: Column, answer: Column, correct_fen: Column | None = None) -> Column:
+    """struct(type, arrows, squares, value, letter, items, text). An answer that is a board
+    keeps its text; with the correct board, `squares` holds those on which they differ."""
     t = strip(answer)
     starts = lambda p: task_type.startswith(p)
     arrows = (
@@ -97,10 +99,12 @@ def primitive(task_type: Column, answer: Column) -> Column:
     items = F.when(task_type == "structural_check_detection", pieces_at(t)).when(task_type == "structural_piece_arrangement", arrangement(t))
     none = t.isNull() | (t == "") | (F.lower(t) == "none")
     fen = starts("structural_state_tracking") & t.rlike(r"\A(?:[pnbrqkPNBRQK1-8]+/){7}[pnbrqkPNBRQK1-8]+ [wb] ")
+    if correct_fen is not None:
+        sq = F.when(fen, board_difference(board_string(t), board_string(correct_fen))).otherwise(sq)
     kind = (
         F.when(none, F.lit("none"))
         .when(arrows.isNotNull(), F.when(task_type.isin(*CHAIN_TYPES, "motifs_fork"), F.lit("chain")).otherwise(F.lit("moves")))
-        .when(sq.isNotNull(), F.lit("squares")).when(value.isNotNull(), F.lit("eval")).when(letter.isNotNull(), F.lit("choice"))
+        .when(sq.isNotNull() & ~fen, F.lit("squares")).when(value.isNotNull(), F.lit("eval")).when(letter.isNotNull(), F.lit("choice"))
         .when(items.isNotNull(), F.lit("pieces")).when(fen, F.lit("fen")).otherwise(F.lit("text"))
     )
     keep = lambda c: F.when(~F.coalesce(none, F.lit(True)), c)

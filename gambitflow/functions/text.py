@@ -164,6 +164,11 @@ def plain_symbols(c: Column, pawn: bool = False) -> Column:
     return strip(t) if pawn else t
 
 
+def letters_and_digits(c: Column) -> Column:
+    """Only letters and digits, small."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+
+
 def count_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit("[A-Za-z0-9']+"))
 

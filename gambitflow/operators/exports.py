@@ -53,7 +53,7 @@ def task_documents(cell_rows: DataFrame, runs: DataFrame, details: bool = True)
     r = F.broadcast(runs.select("run_id", "run_key")) if runs.count() <= 100_000 else runs.select("run_id", "run_key")
     result = [F.col(c).alias(c) for c in ("completion_tokens", "error_type", "extracted", "latency_ms", "legality", "n_attempts", "outcome", "thinking_source")]
     if details:
-        result.append(primitives.primitive(F.col("task_type"), F.col("extracted")).alias("primitives"))
+        result.append(primitives.primitive(F.col("task_type"), F.col("extracted"), F.col("correct_answer")).alias("primitives"))
     result.append(F.col("run_key").alias("run"))
     by_run = F.array_sort(F.collect_list(F.struct(F.col("run_key").alias("k"), F.struct(*result).alias("r"))))
     first = lambda c: F.first(c).alias(c)

@@ -13,19 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gambitflow.functions.board import KING, KNIGHT, NAMES, PAWN, RAYS, SLIDES, square_name
+from gambitflow.functions.board import KING, KNIGHT, NAMES, PAWN, RAYS, SLIDES
+from gambitflow.functions.boards import board_difference, board_string  # noqa: F401
 from gambitflow.functions.text import strip
 
 
-def board_string(fen: Column) -> Column:
-    """64 squares from a1 to h8; null if the text is no placement."""
-    placement = F.get(F.split(strip(fen), r"\s+"), F.lit(0))
-    for n in range(8, 0, -1):
-        placement = F.replace(placement, F.lit(str(n)), F.lit("." * n))
-    board = F.array_join(F.reverse(F.split(placement, "/")), "")
-    return F.when(placement.rlike(r"\A(?:[pnbrqkPNBRQK.]{8}/){7}[pnbrqkPNBRQK.]{8}\z"), board)
-
-
 def positions(df: DataFrame, id_col: str, fen: str) -> DataFrame:
     """pos_id, board, white (side to move)."""
     f = F.get(F.split(F.col(fen), r"\|", 2), F.lit(0))
@@ -159,12 +151,3 @@ def arrangement(pos: DataFrame) -> DataFrame:
     per = pieces(pos).groupBy("pos_id", "piece").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("'"), name(F.col("sq")), F.lit("'")))), ", ").alias("at"))
     part = F.struct(rank.alias("k"), F.concat(piece_name(F.col("piece")), F.lit(": ["), F.col("at"), F.lit("]")).alias("t"))
     return per.groupBy("pos_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), ", ").alias("text"))
-
-
-def board_difference(a: Column, b: Column) -> Column:
-    """Names of the squares on which two board strings differ, sorted."""
-    names = F.array(*[F.lit(square_name(s)) for s in range(64)])
-    differs = lambda s, i: F.when(F.substring(a, i + 1, F.lit(1)) != F.substring(b, i + 1, F.lit(1)), s)
-    return F.array_sort(F.filter(F.transform(names, differs), lambda x: x.isNotNull()))
-
-

@@ -12,6 +12,7 @@ without attempts keeps those it had; a null prompt or an empty one has no hash.
 from __future__ import annotations
 
 import json
+import subprocess
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -190,6 +191,15 @@ def resumed(stored: DataFrame, new: DataFrame, tasks: DataFrame, key: str = "tas
     return joined.select("ord", key, *[c for c in rows.columns if c != key and c not in own], *[x.alias(c) for c, x in filled.items()])
 
 
+def git_commit(path: str = ".") -> str | None:
+    """The commit that a folder is at; null on any failure."""
+    try:
+        done = subprocess.run(["git", "-C", path, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return done.stdout.strip() or None
+
+
 def dataset_hash(spark: SparkSession, root: str) -> str:
     """One sha256 over the names and contents of the benchmark files, in the order of their
     names. Files are digested where they are read; the digest of a file is its content's."""

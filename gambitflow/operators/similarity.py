@@ -142,6 +142,11 @@ def tag_postings(items: DataFrame, id_col: str, tags: str) -> DataFrame:
     return items.select(id_col, F.explode(F.array_distinct(tags)).alias("tag")).where("tag is not null and tag != ''").groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def postings(items: DataFrame, id_col: str, tags: str) -> DataFrame:
+    """tag, id: the inverted index itself, as rows, so a hot tag is no single list."""
+    return items.select(F.explode(F.array_distinct(tags)).alias("tag"), id_col).where("tag is not null and tag != ''")
+
+
 def sharing_neighbours(items: DataFrame, id_col: str, tags: str, every: int = 100) -> DataFrame:
     """id, n: with how many other items an item of the stated query set (numbers divisible
     by `every`) shares a tag.

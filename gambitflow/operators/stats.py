@@ -49,9 +49,15 @@ def usage_rollup(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(
         "*", ratio("extraction_success_count", "n").alias("extraction_success_rate"), ratio("total_cost", "n").alias("avg_cost_per_task"), ratio("total_tokens", "n").alias("avg_tokens_per_task"),
         ratio("total_cost", "total_tokens", 1000.0).alias("cost_per_1k_tokens"), ratio("total_completion_tokens", "total_prompt_tokens").alias("completion_ratio"),
+        ratio("total_tokens", "total_cost").alias("tokens_per_dollar"), ratio("total_prompt_tokens", "n").alias("avg_prompt_tokens"), ratio("total_completion_tokens", "n").alias("avg_completion_tokens"),
     )
 
 
+def batch_accuracy(rows: DataFrame, batch: str) -> DataFrame:
+    """batch, n, accuracy: how the rows of each saved batch did."""
+    return rows.groupBy(batch).agg(F.count("*").alias("n"), F.round(F.avg((F.col("error_type") == "correct").cast("double")), 6).alias("accuracy"))
+
+
 def error_rates(rows: DataFrame) -> DataFrame:
     """Histogram of error types within each run, with rates."""
     n = rows.groupBy("run_id", "error_type").agg(F.count("*").alias("n"))

@@ -89,11 +89,18 @@ s AS (SELECT run_id, count(*) AS n, round(sum(coalesce(cost, 0.0)), 6) AS total_
   sum(coalesce(total_tokens, 0))::BIGINT AS total_tokens, count(*) FILTER (usage_json IS NULL OR usage_json IN ('', '{{}}')) AS error_count, count(*) FILTER (ok) AS extraction_success_count FROM gr GROUP BY run_id)
 SELECT *, round(extraction_success_count / n, 6) AS extraction_success_rate, round(total_cost / n, 6) AS avg_cost_per_task, round(total_tokens / n, 6) AS avg_tokens_per_task,
   CASE WHEN total_tokens > 0 THEN round(total_cost * 1000.0 / total_tokens, 6) ELSE 0.0 END AS cost_per_1k_tokens,
-  CASE WHEN total_prompt_tokens > 0 THEN round(total_completion_tokens / total_prompt_tokens, 6) ELSE 0.0 END AS completion_ratio FROM s""")
+  CASE WHEN total_prompt_tokens > 0 THEN round(total_completion_tokens / total_prompt_tokens, 6) ELSE 0.0 END AS completion_ratio,
+  CASE WHEN total_cost > 0 THEN round(total_tokens / total_cost, 6) ELSE 0.0 END AS tokens_per_dollar, round(total_prompt_tokens / n, 6) AS avg_prompt_tokens, round(total_completion_tokens / n, 6) AS avg_completion_tokens FROM s""")
 def usage_by_run(spark: SparkSession, d: str) -> DataFrame:
     return stats.usage_rollup(_graded(spark, d), ["run_id"])
 
 
+@query(f"""WITH {_GRADED} SELECT r.batch_id, count(*) AS n, round(avg(CASE WHEN gr.error_type = 'correct' THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM gr JOIN results r USING (result_id) GROUP BY 1""")
+def batch_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    rows = _graded(spark, d).join(table(spark, d, "results").select("result_id", "batch_id"), "result_id")
+    return stats.batch_accuracy(rows, "batch_id")
+
+
 @query(f"""WITH {_GRADED}, n AS (SELECT run_id, error_type, count(*) AS n FROM gr GROUP BY 1, 2)
 SELECT run_id, error_type, n, round(n / sum(n) OVER (PARTITION BY run_id), 6) AS rate FROM n""")
 def error_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -12,13 +12,30 @@ from pyspark.sql import functions as F
 
 from gambitflow.functions import board
 from gambitflow.functions.text import count_words, keywords_in, strip
-from gambitflow.operators.sampling import shuffled
+from gambitflow.operators.sampling import sample_tasks, shuffled
 
 PUZZLES = "PuzzleId string, FEN string, Moves string, Rating int, RatingDeviation int, Popularity int, NbPlays int, Themes string, GameUrl string, OpeningTags string"
 EVALS = "fen string, evals array<struct<depth:int, knodes:bigint, pvs:array<struct<cp:int, mate:int, line:string>>>>"
 TASKS = "task_id string, task_type string, task_category string, input string, question string, format_examples array<string>, correct_answer string, answer_type string, metadata string"
 
 
+#: The words that make a comment worth keeping where no list is given.
+KEYWORDS = [
+    "advantage", "slight advantage", "clear advantage", "decisive advantage", "compensation", "initiative", "equality", "equalize", "unclear", "winning", "drawish", "brilliant", "inaccuracy",
+    "mistake", "error", "blunder", "dubious", "only move", "good", "bad", "attack", "counterattack", "counterstroke", "counterplay", "mate threat", "mating net", "checkmate", "perpetual check",
+    "fork", "pin", "skewer", "double attack", "discovered attack", "discovered check", "x-ray", "deflection", "decoy", "interference", "clearance", "overloading", "overworked", "zwischenzug",
+    "intermezzo", "trap", "trapped piece", "sacrifice", "exchange sacrifice", "underpromotion", "promotion", "smothered mate", "windmill", "quiet move", "forcing move", "tempo", "prophylaxis",
+    "overprotection", "blockade", "outpost", "weak square", "weakness", "open file", "half-open file", "open diagonal", "battery", "rook lift", "seventh rank", "back rank", "space advantage",
+    "centralization", "centralisation", "center", "centre", "control of the center", "control of the centre", "king safety", "exposed king", "castling", "opposite-side castling", "kingside",
+    "king side", "queenside", "queen side", "bishop pair", "good bishop", "bad bishop", "opposite-colored bishops", "opposite-coloured bishops", "same-colored bishops", "same-coloured bishops",
+    "color complex", "colour complex", "knight vs bishop", "domination", "isolated pawn", "iqp", "isolani", "backward pawn", "doubled pawns", "hanging pawns", "pawn majority", "pawn minority attack",
+    "minority attack", "pawn chain", "pawn break", "breakthrough", "pawn storm", "passed pawn", "protected passer", "connected passers", "outside passer", "outside passed pawn", "distant passed pawn",
+    "theory", "book move", "in book", "out of book", "move order", "transposition", "novelty", "gambit", "endgame", "pawn ending", "rook ending", "bishop ending", "knight ending", "opposition",
+    "distant opposition", "triangulation", "lucena", "philidor", "shoulder", "shouldering", "bridge-building", "corresponding squares", "fortress", "zugzwang", "resign", "resigns", "resignation",
+    "draw", "repetition", "agreed draw", "time trouble", "zeitnot", "flag",
+]
+
+
 def puzzles(spark: SparkSession, path: str, seed: int = 42) -> DataFrame:
     """Puzzle CSV with a repeatable shuffle order in `o`; columns are matched by header."""
     return spark.read.option("header", True).option("enforceSchema", False).schema(PUZZLES).csv(path).withColumn("o", shuffled(F.col("PuzzleId"), seed))
@@ -81,8 +98,9 @@ def fragments(df: DataFrame, skip: int = 30, length: int = 5) -> DataFrame:
     )
 
 
-def comments(df: DataFrame, keywords: list[str], min_words: int = 5) -> DataFrame:
+def comments(df: DataFrame, keywords: list[str], min_words: int = 5, max_games: int | None = None) -> DataFrame:
     """Comments of main lines with a keyword and enough words, with the position around."""
+    df = df.limit(max_games) if max_games else df
     c = df.select("headers", F.explode("plies").alias("p")).select(
         game_id(F.col("headers")).alias("game_id"), F.try_element_at("headers", F.lit("White")).alias("white_player"), F.try_element_at("headers", F.lit("Black")).alias("black_player"),
         "p.ply", "p.uci", "p.fen_before", "p.fen_after", "p.move_number", "p.side", strip(F.col("p.comment")).alias("comment"),
@@ -90,15 +108,26 @@ def comments(df: DataFrame, keywords: list[str], min_words: int = 5) -> DataFram
     return c.where("comment != ''").withColumn("keywords", keywords_in(F.col("comment"), keywords)).where((F.size("keywords") > 0) & (count_words(F.col("comment")) >= min_words))
 
 
-def tasks(spark: SparkSession, path: str) -> DataFrame:
+def comment_counts(games: DataFrame, kept: DataFrame) -> dict[str, int]:
+    """games, plies, comments and kept comments of a run of the comment filter."""
+    c = F.aggregate("plies", F.lit(0).cast("long"), lambda n, p: n + F.when(F.length(F.trim(F.coalesce(p["comment"], F.lit("")))) > 0, 1).otherwise(0))
+    r = games.agg(F.count("*").alias("games"), F.coalesce(F.sum(F.size("plies")), F.lit(0)).alias("plies"), F.coalesce(F.sum(c), F.lit(0)).alias("comments")).first()
+    return {**r.asDict(), "kept": kept.count()}
+
+
+def tasks(spark: SparkSession, path: str, per_type: int | None = None, most: int | None = None) -> DataFrame:
     """Benchmark JSON lines of all files of a folder in file order: the task columns, file
-    name and `ord`, the place among all. Metadata stays JSON text. No file is an error."""
+    name and `ord`, the place among all. Metadata stays JSON text. No file is an error. per_type, most: a shuffled
+    sample of each type, then the first tasks only."""
     raw = spark.read.option("pathGlobFilter", "*.jsonl").text(path).where(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
     cols = [c.split()[0] for c in TASKS.split(", ")]
     parsed = raw.select("file", "at", F.from_json("value", TASKS).alias("t")).select("file", *[f"t.{c}" for c in cols], "at")
-    # files are few; positions are numbered within each file, then offset by the files before
-    per = parsed.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parsed.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("at"))).join(per.select("file", "before"), "file").withColumn("ord", F.col("before") + F.col("k")).drop("k", "before", "at")
+    # the id tells the split and the line in it; lines of a file lie together in a split, so
+    # only the splits are numbered, not the lines
+    per = parsed.groupBy("file", F.shiftright("at", 33).alias("split")).agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    per = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = parsed.withColumn("split", F.shiftright("at", 33)).join(per.drop("n"), ["file", "split"])
+    return sample_tasks(joined.withColumn("ord", F.col("before") + F.col("at") - F.col("low") + 1).drop("split", "low", "before", "at"), per_type, most, order="ord")
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
@@ -117,23 +146,33 @@ def json_array(spark: SparkSession, path: str, schema: str, limit: int = 0) -> D
     return df.limit(limit) if limit > 0 else df
 
 
-def keyword_list(path: str | None, default: list[str]) -> list[str]:
+def _whole(path: str, spark: SparkSession | None) -> str:
+    """The text of a small file; with a session from wherever the cluster can read."""
+    return Path(path).read_text(encoding="utf-8", errors="ignore") if spark is None else (spark.read.text(path, wholetext=True).first() or [""])[0]
+
+
+def keyword_list(path: str | None, default: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     """A JSON list, a JSON object (keys and their synonyms) or lines with # comments, the
     longest first; without a file, or with an empty one, the default."""
     found: list[str] = []
     if path:
-        text = Path(path).read_text(encoding="utf-8")
+        body = _whole(path, spark)
         try:
-            data = json.loads(text)
+            data = json.loads(body)
         except ValueError:
-            data = [line.split("#")[0] for line in text.splitlines()]
+            data = [line.split("#")[0] for line in body.splitlines()]
         if isinstance(data, dict):
             for k, v in data.items():
                 found += [k, *(v.get("synonyms", []) if isinstance(v, dict) else v if isinstance(v, list) else [])]
         else:
             found = [str(x) for x in data]
     clean = {x.strip().lower() for x in found if x and x.strip()}
-    return sorted(clean or set(default), key=lambda k: (-len(k), k))
+    return sorted(clean or set(KEYWORDS if default is None else default), key=lambda k: (-len(k), k))
+
+
+def theme_list(path: str, spark: SparkSession | None = None) -> list[str]:
+    """The themes of a JSON array, each once, by name."""
+    return sorted({str(x) for x in json.loads(_whole(path, spark))})
 
 
 def env_file(path: str, known: dict[str, str]) -> dict[str, str]:

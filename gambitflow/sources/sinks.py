@@ -53,6 +53,13 @@ def _write_text(spark: SparkSession, path: str, body: str) -> None:
     fs_.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()).rename(tmp, to, over)
 
 
+def report(df: DataFrame, *order: str, rows: int = 1000) -> str:
+    """A report of a small table as text: sorted, columns of equal width, at most `rows` lines."""
+    got = [[("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in (df.orderBy(*order) if order else df).limit(rows).collect()]
+    width = [max(map(len, col)) for col in zip(df.columns, *got, strict=True)]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(row, width, strict=True)).rstrip() for row in [df.columns, *got])
+
+
 def append_lines(df: DataFrame, path: str, *, columns: list[str] | None = None) -> None:
     """JSON lines added to a folder; repeated rows do no harm where the last line of a key wins."""
     df.select(json_line(*(columns or df.columns)).alias("value")).write.mode("append").text(path)

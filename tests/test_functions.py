@@ -105,6 +105,12 @@ def test_primitives(spark, kind, answer, want):
         assert [x.square for x in p["items"]] == ["e1", "a8", "h8"]
 
 
+def test_boards_as_answers(spark):
+    a, b = "8/8/8/8/8/8/8/K7 w - - 0 1", "8/8/8/8/8/8/8/1K6 w - - 0 1"
+    p = spark.createDataFrame([("structural_state_tracking_mid", a, b), ("structural_state_tracking_mid", "junk", b), ("structural_state_tracking_mid", a, None)], "t string, a string, c string").select(primitives.primitive(F.col("t"), F.col("a"), F.col("c")).alias("p")).collect()
+    assert [(r.p.type, r.p.squares, r.p.text) for r in p] == [("fen", ["a1", "b1"], a), ("text", None, "junk"), ("fen", [], a)]
+
+
 def test_board_difference(spark):
     df = spark.createDataFrame([("8/8/8/8/8/8/8/8", "8/8/8/3P4/8/8/8/R7")], "a string, b string")
     assert df.select(geometry.board_difference(geometry.board_string(F.col("a")), geometry.board_string(F.col("b"))).alias("d")).first().d == ["a1", "d5"]

@@ -65,6 +65,26 @@ def test_keywords_and_env(tmp_path):
     assert readers.env_file(str(tmp_path / ".env"), {"B": "old"}) == {"B": "old", "A": "1"}
 
 
+def test_lists_samples_and_reports(spark, tmp_path):
+    from gambitflow.operators import ingest, stats
+
+    (tmp_path / "k.json").write_text('["pin", "Fork "]')
+    assert readers.keyword_list(str(tmp_path / "k.json"), spark=spark) == ["fork", "pin"] and readers.theme_list(str(tmp_path / "k.json"), spark) == ["Fork ", "pin"]
+    assert len(readers.keyword_list(None)) == len(set(readers.KEYWORDS)) and readers.keyword_list(None)[0] == max(readers.KEYWORDS, key=len)
+    d = tmp_path / "tasks"
+    d.mkdir()
+    for f in "ab":
+        (d / f"{f}.jsonl").write_text("".join(json.dumps({"task_id": f"{f}{n}", "task_type": f"t{n % 2}"}) + "\n\n" for n in range(40)))
+    every = readers.tasks(spark, str(d)).orderBy("ord").collect()
+    assert [(r.ord, r.task_id) for r in every] == [(k + 1, f"{'ab'[k // 40]}{k % 40}") for k in range(80)]
+    few = readers.tasks(spark, str(d), per_type=3).collect()
+    assert len(few) == 6 and readers.tasks(spark, str(d), per_type=3, most=4).count() == 4 and [r.ord for r in readers.tasks(spark, str(d), most=4).collect()] == [1, 2, 3, 4]
+    assert sinks.report(spark.createDataFrame([("b", 0.5, None), ("a", 1.0, "x")], "k string, v double, n string"), "k").splitlines() == ["k  v       n", "a  1.0000  x", "b  0.5000"]
+    rows = spark.createDataFrame([("g", "correct"), ("g", "wrong"), (None, "correct")], "b string, error_type string")
+    assert {(r.b, r.n, r.accuracy) for r in stats.batch_accuracy(rows, "b").collect()} == {("g", 2, 0.5), (None, 1, 1.0)}
+    assert ingest.git_commit(str(tmp_path / "none")) is None
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "b", None), (1, "ä", "x")], "o int, v string, n string")
     sinks.write_lines(df, str(tmp_path / "out"), "o")

@@ -102,9 +102,13 @@ def attempt_rows(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: the backend of runs whose files do not tell one.
+BACKEND = "vercel-gateway"
+
+
 def run_meta(run_key: str, sidecar: dict | None = None, given: dict | None = None) -> dict:
     """What is known of a run: by its key, then by its stats file, then as the caller says."""
-    from_key = {"backend": "vercel-gateway", "enable_thinking": False, "add_context": False, "format_example_group": 1}
+    from_key = {"backend": BACKEND, "enable_thinking": False, "add_context": False, "format_example_group": 1}
     stem = run_key
     for suffix, flag, value in (("-fmt2", "format_example_group", 2), ("-piecearr", "add_context", True), ("-thinking", "enable_thinking", True)):
         if stem.endswith(suffix):

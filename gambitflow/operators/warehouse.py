@@ -55,7 +55,11 @@ def attempt_classes(rows: DataFrame) -> DataFrame:
 
 
 def progress(rows: DataFrame, seconds: int) -> DataFrame:
-    """Counters per tick and so far; ticks are aggregated before the running sum."""
+    """Counters per tick and so far. Ticks are aggregated first; the running sum is taken
+    within each day, and only the sums of days are added up in one place."""
     tick = F.timestamp_seconds(F.floor(instant(F.col("started_at")) / (seconds * 1_000_000)) * seconds).cast("timestamp_ntz")
-    per = rows.where(F.col("started_at").isNotNull()).groupBy(tick.alias("tick")).agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms")).where("tick is not null")
-    return per.withColumn("n_so_far", F.sum("n").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))
+    per = rows.where(F.col("started_at").isNotNull()).groupBy(tick.alias("tick")).agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms")).where("tick is not null").withColumn("day", F.to_date("tick"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = per.groupBy("day").agg(F.sum("n").alias("d")).select("day", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("day").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0))
+    return per.withColumn("_so_far", within).join(days, "day").select("tick", "n", "ms", (F.col("_so_far") + F.col("before")).alias("n_so_far"))

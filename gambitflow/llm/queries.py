@@ -46,6 +46,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "bench_items"))
 
 
+def p8_removed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that leak, with what is left of them: leaked spans are cut out, and a
+    document that is mostly leaked is removed whole (text null)."""
+    return leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "bench_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p8_removed": p8_removed,
     "p9_found": p9_found,
 }
 #: SQL cannot express the others; tests/llm holds brute-force versions and round trips.

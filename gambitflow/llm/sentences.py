@@ -76,6 +76,10 @@ _UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060]")
 def _before(text: str, low: int, at: int) -> str:
     """The word that ends at `at`, with the stops and hyphens inside it (as in e.g or c.-à-d);
     a part after a space counts too where it is one letter (z. B)."""
+    k = text.rfind(" ", low, at) + 1
+    word = text[max(k, low) : at]
+    if word.isascii() and word.isalpha():
+        return word  # the usual case
     k = at
     if at > low and text[at - 1].isdigit():
         number = re.search(r"(?:[A-Za-z]*\d[\d.,]*)$", text[max(low, at - 24) : at])
@@ -346,7 +350,7 @@ class Splitter:
             return not (nxt.islower() or nxt in ",;:" or nxt in _DASH)
         if nxt in ",;:)" or (nxt in _DASH and c[-1] != "." and gap + 1 < high and (text[gap + 1].islower() or text[gap + 1].isspace())):
             return False
-        move = _MOVE_NEXT.match(text, gap, high)  # a sentence may begin with the name of a square
+        move = None if nxt.isupper() else _MOVE_NEXT.match(text, gap, high)  # a sentence may begin with the name of a square
         if "…" in c or (c[0] == "." and len(c) > 1 and set(c) == {"."}):
             return nxt.isupper() or nxt in "«“„\"¿¡—" or bool(move) or (_caseless(nxt) and spaced)
         if c[0] in "!?" or c[-1] in "؟":

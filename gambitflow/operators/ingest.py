@@ -174,6 +174,27 @@ def ingest(w: Warehouse, lines: DataFrame, run_key: str, order: str, now: str, s
     return run_id
 
 
+#: Result lines as they are read: nested parts that stay JSON text are strings.
+LINES = (
+    "task_id string, task_type string, task_category string, input string, question string, format_examples array<string>, correct_answer string, answer_type string, metadata string, "
+    "inference struct<prompt:string,response:string,thinking_content:string,thinking_source:string,extracted:string,extraction_successful:boolean,is_correct:boolean,error_type:string,usage:string,raw_message:string,provider_meta:string,"
+    "attempts:array<struct<attempt_no:int,started_at:string,duration_ms:bigint,http_status:int,error_class:string,billed_risk:int,retry_after_s:double,wait_s:double,outcome:string>>,latency_ms:bigint>"
+)
+
+
+def ingest_file(w: Warehouse, path: str, now: str, given: dict | None = None) -> int:
+    """Enter a file of result lines, with the stats file beside it if there is one. The name
+    of the file is the key of the run; blank lines and lines that do not parse are left out."""
+    spark = w.spark
+    key = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".jsonl")
+    beside = f"{path.removesuffix('.jsonl')}_stats.json"
+    at = spark._jvm.org.apache.hadoop.fs.Path(beside)
+    sidecar = json.loads(spark.read.text(beside, wholetext=True).first()[0]) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0).select("value", F.monotonically_increasing_id().alias("_at"))
+    lines = raw.select("_at", F.from_json("value", LINES).alias("l")).select("_at", "l.*")
+    return ingest(w, lines, key, "_at", now, sidecar, given)
+
+
 def load_tasks(w: Warehouse, tasks: DataFrame, dataset_hash: str | None = None, source_file: Column | None = None) -> None:
     """Enter the tasks of a benchmark; a file name or hash that is not told leaves the old one."""
     new = task_columns(tasks, source_file, F.lit(dataset_hash).cast("string"))

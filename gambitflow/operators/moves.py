@@ -63,6 +63,17 @@ def check_motifs(df: DataFrame, fen: str = "fen") -> DataFrame:
     return _per_position(df, [fen], f, "checks array<string>, double_checks array<string>, discovered array<string>")
 
 
+def analysed(df: DataFrame, fen: str = "fen") -> DataFrame:
+    """id, moves, checks, double_checks, discovered: all that the rules tell of a position, in
+    one pass; positions that can't be read are left out."""
+
+    def f(text):
+        p = _safe(text)
+        return (None,) * 4 if p is None else (sorted(p.uci(m) for m in p.legal()), board.checking_moves(p), board.double_checks(p), board.discovered_checks(p))
+
+    return _per_position(df, [fen], f, "moves array<string>, checks array<string>, double_checks array<string>, discovered array<string>").where("moves is not null")
+
+
 def legality(df: DataFrame, fen: str = "fen", answer: str = "answer") -> DataFrame:
     """id, legality of an answer that is one move."""
     return _per_position(df, [fen, answer], lambda a, b: (board.legality((a or "").split("|")[0].strip(), b),), "legality string")

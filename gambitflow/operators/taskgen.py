@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gambitflow.functions import prompts, text
 from gambitflow.functions.prompts import Kind
 from gambitflow.operators import geometry, moves, sampling
+from gambitflow.session import materialise
 
 TASK = ["task_id", "task_type", "task_category", "input", "question", "format_examples", "correct_answer", "answer_type", "metadata"]
 
@@ -32,10 +33,10 @@ def _chain(*cols: str) -> Column:
     return F.concat_ws(">", *cols)
 
 
-def _reach_of(kind: str, what: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+def _reach_of(kind: str, what: str) -> Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]:
     """What one piece, drawn among those that are no pawn and no king, reaches."""
 
-    def candidates(pos: DataFrame, ls: DataFrame) -> DataFrame:
+    def candidates(pos: DataFrame, ls: DataFrame, rules: DataFrame | None) -> DataFrame:
         mine = geometry.pieces(pos).where("lower(piece) not in ('p', 'k')").groupBy("pos_id").agg(F.array_sort(F.collect_list(F.struct("sq", "piece"))).alias("c"))
         one = mine.withColumn("t", F.element_at("c", (sampling.drawn(F.col("pos_id"), kind, F.size("c")) + 1).cast("int")))
         one = one.select("pos_id", geometry.name(F.col("t.sq")).alias("square"), geometry.piece_name(F.col("t.piece")).alias("piece"))
@@ -45,8 +46,8 @@ def _reach_of(kind: str, what: str) -> Callable[[DataFrame, DataFrame], DataFram
     return candidates
 
 
-def _legal(pos: DataFrame, of_one: bool) -> DataFrame:
-    found = moves.legal_moves(pos.select("pos_id", "fen")).withColumnRenamed("id", "pos_id").where("size(moves) > 0")
+def _legal(rules: DataFrame, of_one: bool) -> DataFrame:
+    found = rules.where("size(moves) > 0")
     if of_one:
         starts = F.array_sort(F.array_distinct(F.transform("moves", lambda m: F.substring(m, 1, 2))))
         found = found.withColumn("s", starts).withColumn("square", F.element_at("s", (sampling.drawn(F.col("pos_id"), "structural_legal_move_piece", F.size("s")) + 1).cast("int")))
@@ -55,28 +56,29 @@ def _legal(pos: DataFrame, of_one: bool) -> DataFrame:
     return found.select("pos_id", *rest, F.array_join("moves", ", ").alias("answer"), F.size("moves").cast("long").alias("n"))
 
 
-def _motif(pos: DataFrame, column: str) -> DataFrame:
-    found = moves.check_motifs(pos.select("pos_id", "fen")).withColumnRenamed("id", "pos_id").where(F.size(column) > 0)
-    return found.select("pos_id", F.array_join(F.array_sort(column), ", ").alias("answer"), F.size(column).cast("long").alias("n"))
+def _motif(rules: DataFrame, column: str) -> DataFrame:
+    return rules.where(F.size(column) > 0).select("pos_id", F.array_join(F.array_sort(column), ", ").alias("answer"), F.size(column).cast("long").alias("n"))
 
 
-#: kind -> (positions, their lines) -> pos_id, answer, n and, where drawn, square and piece.
+#: Kinds that need the rules of the game.
+RULES = {"structural_legal_move_piece", "structural_legal_move_all", "structural_check_in_1", "motifs_discovered_check", "motifs_double_check"}
+#: kind -> (positions, their lines, what the rules tell) -> pos_id, answer, n and, where drawn, square and piece.
 #: Further kinds can be entered here.
-CANDIDATES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-    "structural_piece_arrangement": lambda pos, ls: geometry.arrangement(pos).select("pos_id", F.col("text").alias("answer"), F.lit(1).cast("long").alias("n")),
-    "structural_legal_move_piece": lambda pos, ls: _legal(pos, True),
-    "structural_legal_move_all": lambda pos, ls: _legal(pos, False),
-    "structural_check_detection": lambda pos, ls: _listed(geometry.checkers(ls), F.col("checker")),
-    "structural_check_in_1": lambda pos, ls: _motif(pos, "checks"),
+CANDIDATES: dict[str, Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]] = {
+    "structural_piece_arrangement": lambda pos, ls, rules: geometry.arrangement(pos).select("pos_id", F.col("text").alias("answer"), F.lit(1).cast("long").alias("n")),
+    "structural_legal_move_piece": lambda pos, ls, rules: _legal(rules, True),
+    "structural_legal_move_all": lambda pos, ls, rules: _legal(rules, False),
+    "structural_check_detection": lambda pos, ls, rules: _listed(geometry.checkers(ls), F.col("checker")),
+    "structural_check_in_1": lambda pos, ls, rules: _motif(rules, "checks"),
     "structural_capture_squares": _reach_of("structural_capture_squares", "capture"),
     "structural_protect_squares": _reach_of("structural_protect_squares", "protect"),
     "structural_control_squares": _reach_of("structural_control_squares", "control"),
-    "motifs_pin": lambda pos, ls: _listed(geometry.pins(ls), _chain("pinning", "pinned", "king")),
-    "motifs_fork": lambda pos, ls: _listed(geometry.forks(ls), _chain("forker", "victims")),
-    "motifs_battery": lambda pos, ls: _listed(geometry.batteries(pos), F.col("battery")),
-    "motifs_skewer": lambda pos, ls: _listed(geometry.skewers(ls), _chain("attacker", "front", "back")),
-    "motifs_discovered_check": lambda pos, ls: _motif(pos, "discovered"),
-    "motifs_double_check": lambda pos, ls: _motif(pos, "double_checks"),
+    "motifs_pin": lambda pos, ls, rules: _listed(geometry.pins(ls), _chain("pinning", "pinned", "king")),
+    "motifs_fork": lambda pos, ls, rules: _listed(geometry.forks(ls), _chain("forker", "victims")),
+    "motifs_battery": lambda pos, ls, rules: _listed(geometry.batteries(pos), F.col("battery")),
+    "motifs_skewer": lambda pos, ls, rules: _listed(geometry.skewers(ls), _chain("attacker", "front", "back")),
+    "motifs_discovered_check": lambda pos, ls, rules: _motif(rules, "discovered"),
+    "motifs_double_check": lambda pos, ls, rules: _motif(rules, "double_checks"),
 }
 
 
@@ -93,12 +95,14 @@ def position_tasks(rows: DataFrame, kinds: list[Kind], n: int = 100, id_col: str
     src = rows if used is None else sampling.unused(rows, used, id_col)
     pos = geometry.positions(src, id_col, fen).join(src.select(F.col(id_col).alias("pos_id"), F.trim(F.get(F.split(F.col(fen), r"\|", 2), F.lit(0))).alias("fen")), "pos_id")
     ls = geometry.lines(pos)
+    # the rules are asked once for all kinds, and kept for them
+    rules = materialise(moves.analysed(pos.select("pos_id", "fen")).withColumnRenamed("id", "pos_id"), "position-rules") if RULES & {k.name for k in kinds} else None
     found = None
     for kind in kinds:
-        c = CANDIDATES[kind.name](pos, ls).where("answer != ''")
+        c = CANDIDATES[kind.name](pos, ls, rules).where("answer != ''")
         c = c.select(F.lit(kind.name).alias("kind"), "pos_id", "answer", "n", *[F.col(x) if x in c.columns else F.lit(None).cast("string").alias(x) for x in ("square", "piece")])
         found = c if found is None else found.unionByName(c)
-    found = found.withColumn("o", sampling.shuffled(F.col("pos_id"), seed))
+    found = materialise(found.withColumn("o", sampling.shuffled(F.col("pos_id"), seed)), "task-candidates")
     chosen = sampling.quotas(found, [k.name for k in kinds], n, "pos_id", "o").join(found.drop("o"), ["kind", "pos_id"]).join(pos.select("pos_id", "fen"), "pos_id")
     of = lambda part: F.coalesce(*[F.when(F.col("kind") == k.name, part(k)) for k in kinds])
     metadata = lambda k: F.to_json(F.struct(*[F.col(c).alias(a) for c, a in (("pos_id", "puzzle_id"), ("square", "target_square"), ("piece", "piece"), *([("n", k.counted)] if k.counted else []))]))

@@ -148,8 +148,8 @@ def postings(items: DataFrame, id_col: str, tags: str) -> DataFrame:
 
 
 def sharing_neighbours(items: DataFrame, id_col: str, tags: str, every: int = 100) -> DataFrame:
-    """id, n: with how many other items an item of the stated query set (numbers divisible
-    by `every`) shares a tag.
+    """id, n: with how many other items an item of the stated query set (the number that its
+    id's md5 begins with is divisible by `every`) shares a tag.
 
     Items are reduced to their distinct tag sets first, so the work grows with the kinds of
     sets of the queries, not with the pairs of items; how many items share a tag of a set is
@@ -157,7 +157,7 @@ def sharing_neighbours(items: DataFrame, id_col: str, tags: str, every: int = 10
     by meeting the sets of its tags otherwise."""
     sets = items.select(id_col, F.array_sort(F.array_distinct(F.filter(tags, lambda t: t.isNotNull() & (t != "")))).alias("s")).where("size(s) > 0")
     kinds = sets.groupBy("s").agg(F.count("*").alias("m"))
-    asked = sets.where(F.abs(F.crc32(F.col(id_col).cast("string"))) % every == 0)
+    asked = sets.where(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") % every == 0)
     mine = asked.select(F.col("s").alias("a")).distinct()
     few = 10
     # every subset of a small tag set as a sorted array; its items are those that hold all of it

@@ -316,17 +316,26 @@ def _themed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tasks").select("task_id", F.from_json(F.get_json_object("metadata", "$.themes"), "array<string>").alias("themes"))
 
 
-@query()
+#: The themes that quotas are drawn for.
+THEMES = ["deflection", "endgame", "hanging", "mate", "middlegame", "promotion", "quiet", "sacrifice", "zugzwang"]
+_QUOTAS = ",\n".join(
+    f"q{i} AS (SELECT '{k}' AS kind, task_id, (row_number() OVER (ORDER BY o, task_id) - 1)::INTEGER AS no FROM c WHERE kind = '{k}'" + "".join(f" AND task_id NOT IN (SELECT task_id FROM q{j})" for j in range(i)) + " QUALIFY no < 25)"
+    for i, k in enumerate(THEMES)
+)
+_THEMED = "(SELECT task_id, unnest(list_distinct(from_json(json_extract(metadata, '$.themes'), '[\"VARCHAR\"]'))) AS kind FROM tasks)"
+
+
+@query(f"WITH c AS (SELECT task_id, kind, md5(task_id || ':42') AS o FROM {_THEMED}),\n{_QUOTAS}\n" + " UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(len(THEMES))))
 def theme_quotas(spark: SparkSession, d: str) -> DataFrame:
-    """25 tasks per theme, each task to its first theme with room; SQL has no greedy step."""
-    c = _themed(spark, d).select("task_id", F.explode("themes").alias("kind"), sampling.shuffled(F.col("task_id")).alias("o"))
-    kinds = [r.kind for r in c.select("kind").distinct().orderBy("kind").collect()]  # themes, not tasks
-    return sampling.quotas(c, kinds, 25, "task_id", "o")
+    """25 tasks per theme, each task to its first theme with room."""
+    c = _themed(spark, d).select("task_id", F.explode(F.array_distinct("themes")).alias("kind"), sampling.shuffled(F.col("task_id")).alias("o"))
+    return sampling.quotas(c, THEMES, 25, "task_id", "o")
 
 
-@query()
+@query(f"""WITH t AS (SELECT * FROM {_THEMED} WHERE kind IS NOT NULL AND kind <> ''), q AS (SELECT DISTINCT task_id FROM t WHERE ('0x' || substr(md5(task_id), 1, 8))::BIGINT % 10 = 0)
+SELECT q.task_id, (SELECT count(DISTINCT b.task_id) FROM t a JOIN t b ON b.kind = a.kind AND b.task_id <> a.task_id WHERE a.task_id = q.task_id) AS n FROM q""")
 def theme_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """With how many other tasks a task of the query set shares a theme; tested by brute force."""
+    """With how many other tasks a task of the query set shares a theme."""
     return similarity.sharing_neighbours(_themed(spark, d), "task_id", "themes", 10)
 
 

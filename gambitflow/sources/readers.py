@@ -115,11 +115,11 @@ def comment_counts(games: DataFrame, kept: DataFrame) -> dict[str, int]:
     return {**r.asDict(), "kept": kept.count()}
 
 
-def tasks(spark: SparkSession, path: str, per_type: int | None = None, most: int | None = None) -> DataFrame:
+def tasks(spark: SparkSession, path: str, per_type: int | None = None, most: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
     """Benchmark JSON lines of all files of a folder in file order: the task columns, file
     name and `ord`, the place among all. Metadata stays JSON text. No file is an error. per_type, most: a shuffled
     sample of each type, then the first tasks only."""
-    raw = spark.read.option("pathGlobFilter", "*.jsonl").text(path).where(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.option("pathGlobFilter", pattern).text(path).where(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
     cols = [c.split()[0] for c in TASKS.split(", ")]
     parsed = raw.select("file", "at", F.from_json("value", TASKS).alias("t")).select("file", *[f"t.{c}" for c in cols], "at")
     # the id tells the split and the line in it; lines of a file lie together in a split, so
@@ -131,12 +131,13 @@ def tasks(spark: SparkSession, path: str, per_type: int | None = None, most: int
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """The last line of each task of a results file; a missing file gives an empty frame."""
+    """The last line of each task of a results file, or of files in the order of their names;
+    a missing file gives an empty frame."""
     schema = "task_id string, line string"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
-    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.get_json_object("value", "$.task_id").alias("task_id"), F.struct(F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")).alias("x"))
+    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.get_json_object("value", "$.task_id").alias("task_id"), F.struct(F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")).alias("x"))
     return raw.where("task_id is not null").groupBy("task_id").agg(F.max("x").alias("x")).select("task_id", "x.line")
 
 

@@ -22,12 +22,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambitflow.session import materialise, release
 
-#: An interval is cut at so many equal steps, and at so many powers of 1/16 of its width.
+#: An interval is cut at so many equal steps, and at the powers of 1/16 of its width up to this one.
 STEPS, POWERS = 16, 12
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 _MOST = 1.7976931348623157e308
@@ -47,19 +47,18 @@ def combine(*summaries: DataFrame, group: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, summaries).groupBy(*group, "value").agg(F.sum("n").alias("n"))
 
 
-def _cuts(whole: bool):
+def _cuts(low: Column, high: Column, whole: bool) -> Column:
     """Cut points of an interval, from its lower end on, below its upper end."""
-    low, high = F.col("low"), F.col("high")
-    steps, powers = F.sequence(F.lit(1), F.lit(STEPS - 1)), F.sequence(F.lit(2), F.lit(POWERS))
+    steps, powers = range(1, STEPS), range(2, POWERS + 1)
     if whole:
         width = high.cast("decimal(20,0)") - low.cast("decimal(20,0)")
-        even = F.transform(steps, lambda i: (low + F.floor(width * i / STEPS)).cast("long"))
-        close = F.transform(powers, lambda i: (low + F.floor(width / F.pow(F.lit(16.0), i).cast("decimal(20,0)"))).cast("long"))
+        even = [(low + F.floor(width * i / STEPS)).cast("long") for i in steps]
+        close = [(low + F.floor(width / F.lit(16**i).cast("decimal(20,0)"))).cast("long") for i in powers]
     else:
         a, b = F.greatest(low, F.lit(-_MOST)), F.least(high, F.lit(_MOST))
-        even = F.transform(steps, lambda i: a * (1 - i / STEPS) + b * (i / STEPS))
-        close = F.transform(powers, lambda i: a + (b / F.pow(F.lit(16.0), i) - a / F.pow(F.lit(16.0), i)))
-    return F.array_distinct(F.filter(F.concat(F.array(low), even, close), lambda c: (c >= low) & (c < high)))
+        even = [a * (1 - i / STEPS) + b * (i / STEPS) for i in steps]
+        close = [a + (b / 16.0**i - a / 16.0**i) for i in powers]
+    return F.filter(F.array(low, *even, *close), lambda c: (c >= low) & (c < high))
 
 
 def percentiles(counts: DataFrame, group: list[str], ps: list[float], broadcast_limit: int = 20_000) -> DataFrame:
@@ -84,8 +83,10 @@ def percentiles(counts: DataFrame, group: list[str], ps: list[float], broadcast_
     hint = F.broadcast if state.count() <= broadcast_limit else (lambda d: d)
     # invariant: low and high are values of the group, count(value < low) = below < rank <= count(value <= high)
     while not (open_ := state.where("low < high")).isEmpty():
-        points = open_.select("g", "low", "high", "below", F.explode(_cuts(whole)).alias("c")).groupBy("g")
-        points = points.agg(F.array_sort(F.collect_set("c")).alias("points"), F.min("low").alias("least"), F.max("high").alias("most"), F.min("below").alias("base"))
+        # a group has as many intervals as percentiles at most; equal ones are cut once
+        points = open_.groupBy("g").agg(F.collect_set(F.struct("low", "high")).alias("s"), F.min("low").alias("least"), F.max("high").alias("most"), F.min("below").alias("base"))
+        cuts = F.flatten(F.transform("s", lambda x: _cuts(x["low"], x["high"], whole)))
+        points = points.select("g", "least", "most", "base", F.array_sort(F.array_distinct(cuts)).alias("points"))
         # every value falls between two cut points; only the sums between them are shuffled
         slot = F.size(F.filter("points", lambda c: c < F.col("value")))
         sums = counts.join(hint(points), "g").where("value between least and most").groupBy("g", slot.alias("slot")).agg(F.sum("n").alias("m"), F.min("value").alias("a"), F.max("value").alias("b"), F.first("base").alias("base"))

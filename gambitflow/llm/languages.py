@@ -22,6 +22,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gambitflow.session import materialise
+
 #: Scripts and the language that is told by them; the first that fits counts.
 SCRIPTS = (("ja", "぀", "ヿ"), ("ko", "가", "힣"), ("th", "฀", "๿"), ("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("el", "Ͱ", "Ͽ"), ("ru", "Ѐ", "ӿ"), ("he", "֐", "׿"), ("zh", "一", "鿿"))
 _FOREIGN = re.compile(f"[{''.join(f'{a}-{b}' for _, a, b in SCRIPTS)}]")
@@ -116,7 +118,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", id_col:
     fewer than `least` texts is left out."""
     code = F.lower(F.split(F.trim(F.col(label).cast("string")), "[-_]")[0])
     rows = labelled.select(code.alias("code"), F.col(text).cast("string").alias("t"), F.xxhash64(F.col(id_col)).alias("h")).where("length(code) > 0 and length(trim(t)) > 0")
-    few = rows.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("h", "t"))).where(F.col("k") <= sample)
+    few = materialise(rows.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("h", "t"))).where(F.col("k") <= sample), "labelled-texts")
     found = few.select("code", "h", F.explode(F.regexp_extract_all(F.regexp_replace(F.lower("t"), r"\S*\d\S*", " "), F.lit(r"[\p{IsLatin}]{2,}['’]?"), 0)).alias("w"))
     feature = F.explode(F.array(F.struct(F.lit("w").alias("kind"), F.col("w").alias("f")), F.struct(F.lit("e").alias("kind"), F.when(F.length("w") > 3, F.substring("w", -3, 3)).alias("f"))))
     counts = found.select("code", "h", feature.alias("x")).where("x.f is not null").groupBy("code", "x.kind", "x.f").agg(F.count("*").alias("n"), F.count_distinct("h").alias("texts")).where("texts > 1")

@@ -217,8 +217,12 @@ def clusters(texts: DataFrame) -> DataFrame:
     member of its buckets that is still in another cluster, so that no link between clusters
     is missed. Components are found by label propagation with jumps."""
     signed = materialise(texts.select("opening").mapInArrow(_signatures, "opening string, bands array<long>, shingles array<long>").withColumn("id", F.xxhash64("shingles")), "openings")
-    nodes = materialise(signed.where("size(bands) > 0").dropDuplicates(["id"]).select("id", "bands", "shingles"), "opening-nodes")
-    slots = nodes.select("id", F.size("shingles").alias("size"), F.explode("bands").alias("band"))
+    # most buckets have one member, which nothing is compared with
+    slots = signed.select("id", F.size("shingles").alias("size"), F.explode("bands").alias("band"))
+    crowded = slots.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("band")
+    slots = materialise(slots.join(crowded, "band", "left_semi").distinct(), "opening-slots")
+    met = slots.select("id").distinct()
+    nodes = materialise(signed.select("id", "shingles").join(met, "id", "left_semi").dropDuplicates(["id"]), "opening-nodes")
     order = Window.partitionBy("band").orderBy("id")
     near = slots.select("id", F.first("id").over(order).alias("a"), F.lag("id").over(order).alias("b"))
     links = _verified(near.select("id", F.explode(F.array("a", "b")).alias("to")).where("to is not null and to != id").distinct(), nodes)

@@ -36,6 +36,9 @@ _FEN = re.compile(r"(?:[pnbrqkPNBRQK1-8]{1,8}/){3,7}[pnbrqkPNBRQK1-8]{1,8}(?: [w
 #: if so many words are seen and at most this share is known, or no sentence votes.
 MARGIN, UNKNOWN_WORDS, UNKNOWN_SHARE = 0.6, 16, 0.15
 
+#: Sentences whose result is kept; when full, the table is begun anew (results don't change).
+TABLE_SENTENCES = 50_000
+
 # fixed values, asked only for words that the labelled corpus does not hold: frequent small words, none of two languages
 _SMALL = {
     "en": "the of and to is that it was for on with as by this are be at from or which has had have but its his her they he she would before after while because only what how does without who than then there when you both near any even our into out over since until".split(),
@@ -51,6 +54,7 @@ class Profiles:
     def __init__(self, names: list[str], words: dict[str, tuple], endings: dict[str, tuple]):
         self.names, self.words, self.endings = names, words, endings
         self._kept: dict[str, tuple] = {}
+        self._told: dict[str, tuple[str, int, int, int]] = {}
 
     def __reduce__(self):
         return Profiles, (self.names, self.words, self.endings)
@@ -63,37 +67,44 @@ class Profiles:
         for w in fresh:
             kept[w] = self.words.get(w) or (self.endings.get(w[-3:]) if len(w) > 3 else None) or ()
 
+    def _sentence(self, s: str) -> tuple[str, int, int, int]:
+        """(language or '', letters, different words, words known) of a masked sentence."""
+        if not s.isascii() and _FOREIGN.search(s):
+            letters = [c for c in s if c.isalpha()]
+            for code, a, b in SCRIPTS:
+                n = sum(a <= c <= b for c in letters)
+                if n and (code == "ja" or n * 3 > len(letters)):
+                    return code, len(letters) * (3 if code in ("ja", "zh", "ko") else 1), 0, 0
+        words = _TAKEN.findall(s)
+        distinct = set(words)
+        if not distinct <= self._kept.keys():
+            self._learn(distinct)
+        got = [x for x in map(self._kept.__getitem__, words) if x]
+        told = ""
+        if got:
+            score = list(map(sum, zip(*got, strict=True)))
+            best, second = sorted(score, reverse=True)[:2] if len(score) > 1 else (score[0], 0.0)
+            if best >= MARGIN and best - second >= MARGIN:
+                told = self.names[score.index(best)]
+        return told, sum(map(len, words)), len(distinct), len(self.words.keys() & distinct)
+
     def votes(self, text: str) -> Counter[str]:
         """How many letters of the text tell for which language."""
         votes: Counter[str] = Counter()
         seen = known = 0
         if "/" in text:
             text = _FEN.sub(" ", text)
-        known_words, kept = self.words.keys(), self._kept
+        told = self._told
         for s in _SENTENCE.findall(MASK.sub("0", text.casefold())):
-            if not s.isascii() and _FOREIGN.search(s):
-                letters = [c for c in s if c.isalpha()]
-                for code, a, b in SCRIPTS:
-                    n = sum(a <= c <= b for c in letters)
-                    if n and (code == "ja" or n * 3 > len(letters)):
-                        votes[code] += len(letters) * (3 if code in ("ja", "zh", "ko") else 1)
-                        break
-                else:
-                    n = 0
-                if n:
-                    continue
-            words = _TAKEN.findall(s)
-            distinct = set(words)
-            if not distinct <= kept.keys():
-                self._learn(distinct)
-            got = [x for x in map(kept.__getitem__, words) if x]
-            seen += len(distinct)
-            known += len(known_words & distinct)
-            if got:
-                score = list(map(sum, zip(*got, strict=True)))
-                best, second = sorted(score, reverse=True)[:2] if len(score) > 1 else (score[0], 0.0)
-                if best >= MARGIN and best - second >= MARGIN:
-                    votes[self.names[score.index(best)]] += sum(map(len, words))
+            got = told.get(s)
+            if got is None:
+                if len(told) >= TABLE_SENTENCES:
+                    told.clear()
+                got = told[s] = self._sentence(s)
+            if got[0]:
+                votes[got[0]] += got[1]
+            seen += got[2]
+            known += got[3]
         if seen >= UNKNOWN_WORDS and (known <= UNKNOWN_SHARE * seen or not votes) and not any(c for c, _, _ in SCRIPTS if votes[c]):
             return Counter({"und": seen})
         return votes

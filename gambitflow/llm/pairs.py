@@ -88,20 +88,31 @@ def is_copy(prompt: str | None, text: str) -> bool:
 _CLAUSES = re.compile(r"[,;:，、；：]| but | so ")
 
 
+#: Openings of masked sentences that were cut before; begun anew when full.
+_CUT: dict[str, tuple[str, ...]] = {}
+TABLE_SENTENCES = 50_000
+
+
+def _openings_of(sentence: str) -> tuple[str, ...]:
+    words = _TOKEN.findall
+    whole = " ".join(words(sentence))
+    if len(whole) < 4:
+        return ()
+    parts = _CLAUSES.split(sentence)
+    clauses = [" ".join(c) for part in parts if len(c := words(part)) >= 4 or (len(part) >= 6 and not part.isascii())] if len(parts) > 1 else []
+    return (whole, *clauses)
+
+
 def openings(body: str) -> list[str]:
     """The sentences and their clauses, masked, each once."""
     out: dict[str, None] = {}
-    words = _TOKEN.findall
-    for sentence in _SENTENCE.findall(MASK.sub("0", body.casefold().replace("’", "").replace("'", ""))):
-        s = " ".join(words(sentence))
-        if len(s) < 4:
-            continue
-        out[s] = None
-        parts = _CLAUSES.split(sentence)
-        for part in parts if len(parts) > 1 else ():
-            c = words(part)
-            if len(c) >= 4 or (len(part) >= 6 and not part.isascii()):
-                out[" ".join(c)] = None
+    for s in _SENTENCE.findall(MASK.sub("0", body.casefold().replace("’", "").replace("'", ""))):
+        got = _CUT.get(s)
+        if got is None:
+            if len(_CUT) >= TABLE_SENTENCES:
+                _CUT.clear()
+            got = _CUT[s] = _openings_of(s)
+        out.update(dict.fromkeys(got))
     return list(out)
 
 

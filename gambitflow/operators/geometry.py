@@ -53,7 +53,10 @@ def _piece(sq: Column) -> Column:
 def lines(pos: DataFrame) -> DataFrame:
     """Each piece with each of its lines: the first and second piece met, with their places
     on the line (from 0), and the squares reached."""
-    occ = F.filter(F.transform("squares", lambda s, i: F.struct(i.alias("step"), s.alias("sq"), _piece(s).alias("piece"))), lambda x: x["piece"] != ".")
+    # the board goes into the lambda as an argument: Spark may push a filter on a lambda to one
+    # side of the join although the lambda uses a column of the other one
+    letters = F.zip_with("squares", F.array_repeat("board", F.size("squares")), lambda s, b: F.struct(s.alias("sq"), F.substring(b, s + 1, F.lit(1)).alias("piece")))
+    occ = F.filter(F.transform(letters, lambda x, i: F.struct(i.alias("step"), x["sq"].alias("sq"), x["piece"].alias("piece"))), lambda x: x["piece"] != ".")
     joined = pieces(pos).join(F.broadcast(line_table(pos.sparkSession)), ["piece", "sq"])
     met = joined.withColumn("occ", occ).withColumn("first", F.get("occ", F.lit(0))).withColumn("second", F.get("occ", F.lit(1)))
     reached = F.when(F.col("first").isNull(), F.col("squares")).otherwise(F.slice("squares", F.lit(1), F.col("first.step") + 1))

@@ -43,6 +43,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p3_found": """WITH r AS (SELECT raw_id, try_cast(payload AS JSON) AS j FROM raw_records), o AS (SELECT raw_id, j FROM r WHERE json_type(j) = 'OBJECT'),
+m AS (SELECT raw_id, CASE WHEN json_type(j, '$.metadata') = 'VARCHAR' THEN try_cast(json_extract_string(j, '$.metadata') AS JSON) ELSE json_extract(j, '$.metadata') END AS m FROM o),
+a AS (SELECT raw_id, 'example' AS node, 0 AS parent_no, json_extract(j, '$.format_examples') AS v FROM o
+  UNION ALL SELECT raw_id, 'extracted', 0, json_extract(j, '$.inference.extracted') FROM o UNION ALL SELECT raw_id, 'attempt', 0, json_extract(j, '$.inference.attempts') FROM o),
+e AS (SELECT raw_id, node, parent_no, unnest(l) AS x, generate_subscripts(l, 1) AS node_no FROM (SELECT raw_id, node, parent_no, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') WHEN v IS NULL OR json_type(v) = 'NULL' OR (json_type(v) = 'VARCHAR' AND v ->> '$' = '') THEN [] ELSE [v] END AS l FROM a)),
+k AS (SELECT raw_id, CASE node WHEN 'extracted' THEN 'square' ELSE 'chunk' END AS node, node_no AS parent_no, CASE node WHEN 'extracted' THEN json_extract(x, '$.squares') ELSE json_extract(x, '$.chunks') END AS v FROM e WHERE node <> 'example' AND json_type(x) = 'OBJECT'),
+f AS (SELECT raw_id, node, parent_no, unnest(l) AS x, generate_subscripts(l, 1) AS node_no FROM (SELECT raw_id, node, parent_no, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') WHEN v IS NULL OR json_type(v) = 'NULL' OR (json_type(v) = 'VARCHAR' AND v ->> '$' = '') THEN [] ELSE [v] END AS l FROM k)),
+n AS (SELECT * FROM e UNION ALL SELECT * FROM f)
+SELECT raw_id, 'record' AS node, 0::BIGINT AS parent_no, 1::BIGINT AS node_no, coalesce(json_extract_string(m, '$.puzzle_id'), '') AS val FROM m
+UNION ALL SELECT raw_id, node, parent_no::BIGINT, node_no::BIGINT, coalesce(CASE WHEN json_type(x) = 'OBJECT' THEN json_extract_string(x, CASE node WHEN 'extracted' THEN '$.item' WHEN 'attempt' THEN '$.outcome' WHEN 'chunk' THEN '$.kind' ELSE '$.none' END) WHEN node IN ('attempt', 'chunk') THEN '' ELSE x ->> '$' END, '')
+FROM n WHERE json_type(x) <> 'NULL'""",
     "p2_found": f"""
 SELECT 'results' AS src, result_id AS row_id FROM (
   SELECT result_id, row_number() OVER (PARTITION BY run_id, lower(trim(task_id, ' ' || chr(9) || chr(10) || chr(13)))
